@@ -4,24 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridrank.llm import mil_quality, secret_scan
 from gridrank.llm.packing import pack
 from gridrank.llm.token_counts import token_counts
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), *_tokenizer(), limit=1024)
+    return token_counts(_table(spark, sf_dir, "documents"), *_tokenizer(), limit=1024)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), *_tokenizer(), window=1024)
+    return pack(_table(spark, sf_dir, "documents"), *_tokenizer(), window=1024)
+
+
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mil_quality.score(docs, mil_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_token_counts, op8_packing, op10_mil_quality)}
 #: None of them can be put in SQL as a whole; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
