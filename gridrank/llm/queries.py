@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrank.llm import embed_forest, jaccard_join, mil_quality, secret_scan
+from gridrank.llm import embed_forest, imatch, jaccard_join, mil_quality, secret_scan
 from gridrank.llm.packing import pack
 from gridrank.llm.token_counts import token_counts
 
@@ -24,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -45,6 +49,6 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(docs, mil_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_embed_forest, op6_jaccard_join, op7_token_counts, op8_packing, op10_mil_quality)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_imatch, op5_embed_forest, op6_jaccard_join, op7_token_counts, op8_packing, op10_mil_quality)}
 #: None of them can be put in SQL as a whole; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
