@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrank.llm import embed_forest, imatch, jaccard_join, mil_quality, secret_scan
+from gridrank.llm import chat_rotation, embed_forest, html_layout, imatch, jaccard_join, mil_quality, secret_scan, sentencepiece_viterbi
 from gridrank.llm.packing import pack
 from gridrank.llm.token_counts import token_counts
 
@@ -24,10 +24,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_viterbi.round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -44,11 +54,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), *_tokenizer(), window=1024)
 
 
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mil_quality.score(docs, mil_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_imatch, op5_embed_forest, op6_jaccard_join, op7_token_counts, op8_packing, op10_mil_quality)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_imatch, op4_html_layout, op5_embed_forest, op6_jaccard_join, op7_token_counts, op8_packing, op9_chat_rotation, op10_mil_quality)}
 #: None of them can be put in SQL as a whole; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

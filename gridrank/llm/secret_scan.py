@@ -68,7 +68,9 @@ def labelled_samples(docs: DataFrame, *, most_docs: int = 1000, random: int = 30
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
     made = spark.range(random).select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(F.base64(F.unhex(digest)), 1, 40), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 32)))).alias("value"))
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("body is not null").orderBy(F.xxhash64("id"), "body").limit(most_docs)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    chosen = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_docs)
+    some = texts.join(F.broadcast(chosen), "id")  # most_docs ids at most
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = some.select(F.explode(F.split(plain, r"[^A-Za-z0-9+/_=.-]+")).alias("value")).where(F.length("value") > 1)
     return made.select("value", F.lit(True).alias("random")).unionByName(words.select("value", F.lit(False).alias("random")))
