@@ -166,3 +166,21 @@ def score(docs: DataFrame, model: Model, *, words_each: int = 64, id_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), words_each), f"id {kind}, score double")
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _accept(model, words_each: int, at_least: float, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, at in text_chunks(batch.column(column), 1 << 20):
+                x, out = passages(data, at, words_each)
+                found, _ = model.value.forward(x, out)
+                empty = np.add.reduceat(x[:, 256 : 256 + N_WORDS].sum(1), out[:-1]) == 0
+                yield batch.slice(a, b - a).filter(pa.array((found >= at_least) | empty))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, *, words_each: int = 64, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose texts score `at_least` or have no words, with all their columns."""
+    column = docs.columns.index(text_col)
+    return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(model), words_each, at_least, column), docs.schema)

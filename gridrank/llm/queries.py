@@ -13,7 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> tuple[str, str]:
+def byte_tokenizer() -> tuple[str, str]:
+    """The vocabulary's file, and its ranks."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,11 +48,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents"), *_tokenizer(), limit=1024)
+    return token_counts(_table(spark, sf_dir, "documents"), *byte_tokenizer(), limit=1024)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), *_tokenizer(), window=1024)
+    return pack(_table(spark, sf_dir, "documents"), *byte_tokenizer(), window=1024)
 
 
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
