@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Every tree splits the vectors again and again: a node projects them on a random
-direction and parts them at the median, and those near it, a share `overlap` of
-the node, go to both sides. Vectors that meet in a leaf of some tree and have
-equal labels are compared by cosine in double precision. Thresholds are fitted
+direction and parts them at the median; those near it go to both sides. How near
+is the same everywhere: a pair that may link differs by at most
+sqrt(2 - 2 least) in length, so by that divided by the root of the dimension in
+a random direction, as a deviation; `margin` such deviations are shared, and a
+split parts few links. A node of which more than `most_shared` would be shared,
+such as a tight group, isn't split. Vectors that meet in a leaf of some tree and
+have equal labels are compared by cosine in double precision. Splits are fitted
 on at most `most_sample` vectors, the first by a hash of their ids; a node with
-too few of them takes its parent's. Every vector is indexed. The depth follows
-the number of vectors, and overlap shrinks with it so that each tree holds at
-most `copies` copies of a vector.
+too few of them takes its parent's. Every vector is indexed, and the depth
+follows their number.
 
 Equal vectors of a label are one class, compared once and counted as many. A
 leaf with more than `block` members of a label is compared in blocks, all pairs
@@ -41,11 +44,11 @@ POOL = 1024
 
 @dataclass
 class Forest:
-    """Heap-ordered trees: node i has children 2 i + 1 and 2 i + 2."""
+    """Heap-ordered trees: node i has children 2 i + 1 and 2 i + 2. A node that isn't split is a leaf."""
 
     pool: np.ndarray
     levels: int
-    low: np.ndarray  # tree, node: what lies below goes left only
+    low: np.ndarray  # tree, node: what lies below goes left only; infinite where a node isn't split
     high: np.ndarray  # what lies above goes right only
 
     def direction(self, tree: int, node: np.ndarray) -> np.ndarray:
@@ -56,30 +59,39 @@ class Forest:
         out = []
         for t in range(len(self.low)):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+            done = [(row[:0], node[:0])]
             for _ in range(self.levels):
+                leaf = np.isinf(self.low[t, node])
+                done.append((row[leaf], node[leaf]))
+                row, node = row[~leaf], node[~leaf]
                 p = np.einsum("ij,ij->i", x[row], self.pool[self.direction(t, node)])
                 left, right = p <= self.high[t, node], p > self.low[t, node]
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-            out.append((row, node - (2**self.levels - 1) + t * 2**self.levels))
+            done.append((row, node))
+            rows, nodes = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+            out.append((rows, nodes + t * 2 ** (self.levels + 1)))
         return out
 
 
-def fit(sample: np.ndarray, n: int, *, trees: int, leaf: int, copies: float, least: int = 64, seed: int = 11) -> Forest:
-    """sample: unit vectors, of n that will be indexed."""
+def fit(sample: np.ndarray, n: int, *, trees: int, leaf: int, width: float, most_shared: float, least: int = 64, seed: int = 11) -> Forest:
+    """sample: unit vectors, of n that will be indexed; width: of the shared part around a median."""
     levels = max(1, math.ceil(math.log2(max(n, 1) / leaf))) if n > leaf else 1
-    overlap = min(0.3, copies ** (1 / levels) - 1)
     rng = np.random.default_rng(seed)
     pool = rng.standard_normal((POOL, sample.shape[1]))
     pool /= np.linalg.norm(pool, axis=1, keepdims=True)
     inner = 2**levels - 1
-    forest = Forest(pool, levels, np.zeros((trees, inner), np.float64), np.zeros((trees, inner), np.float64))
+    forest = Forest(pool, levels, np.full((trees, inner), np.inf), np.full((trees, inner), np.inf))
     for t in range(trees):
         members = {0: np.arange(len(sample))}
         for i in range(inner):
-            own = members.pop(i)
+            own = members.pop(i, None)
+            if own is None or not len(own):
+                continue
             p = sample[own] @ pool[forest.direction(t, np.array([i]))[0]]
-            if len(p):
-                forest.low[t, i], forest.high[t, i] = np.quantile(p, [0.5 - overlap / 2, 0.5 + overlap / 2])
+            middle = np.median(p)
+            if (np.abs(p - middle) <= width / 2).mean() > most_shared:
+                continue
+            forest.low[t, i], forest.high[t, i] = middle - width / 2, middle + width / 2
             if 2 * i + 2 < inner:
                 left, right = own[p <= forest.high[t, i]], own[p > forest.low[t, i]]
                 members[2 * i + 1], members[2 * i + 2] = (left if len(left) >= least else own), (right if len(right) >= least else own)
@@ -189,7 +201,7 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4, leaf: int = 2048, block: int = 1024, copies: float = 4.0, most_sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4, leaf: int = 2048, block: int = 1024, margin: float = 2.5, most_shared: float = 0.5, most_sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept of each row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
@@ -200,7 +212,8 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4,
     n, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     sample = classes.select("cls", "vector").orderBy(F.xxhash64("cls")).limit(most_sample).select("vector").toArrow() if n else None
     x = _unit(_matrix(sample["vector"], width)) if n else np.zeros((0, 1))
-    forest = spark.sparkContext.broadcast(fit(x, n, trees=trees, leaf=leaf, copies=copies))
+    shared = margin * math.sqrt(max(0.0, 2 - 2 * least) / max(width or 1, 1))
+    forest = spark.sparkContext.broadcast(fit(x, n, trees=trees, leaf=leaf, width=shared, most_shared=most_shared))
     plain = classes.select("cls", "size", "vector", "label")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", leaves array<long>"
     placed = store.keep(plain.mapInArrow(_assign(forest, width or 1), schema).withColumn("leaf", F.explode("leaves")), "leaves")
