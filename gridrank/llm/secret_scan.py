@@ -49,16 +49,19 @@ class Markov:
         return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.element_at(table, symbol(i) * SYMBOLS + symbol(i + 1) + 1))
 
 
-def train(samples: DataFrame, threshold: float = 15.0, least: int = 20) -> Markov:
+def train(samples: DataFrame, threshold: float = 15.0, least: int = 20, lean: float = 5.0) -> Markov:
     """From rows (value string, random boolean). Pairs are counted by Spark; at most 2 * 94 * 94 counts come to the driver."""
     pairs = samples.where(F.length("value") > 1).select("random", "value", F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i"))
     pairs = pairs.select("random", F.ascii(F.col("value").substr(F.col("i"), F.lit(1))).alias("a"), F.ascii(F.col("value").substr(F.col("i") + 1, F.lit(1))).alias("b"))
     counts = {(r["random"], r["a"] - 33, r["b"] - 33): r["n"] for r in pairs.where("a between 33 and 126 and b between 33 and 126").groupBy("random", "a", "b").agg(F.count("*").alias("n")).collect()}
     ratios = []
+    single = {kind: [1 + sum(counts.get((kind, a, b), 0) for a in range(SYMBOLS)) for b in range(SYMBOLS)] for kind in (False, True)}
+    share = {kind: [c / sum(single[kind]) for c in single[kind]] for kind in single}
     for a in range(SYMBOLS):
-        totals = [sum(counts.get((kind, a, b), 0) for b in range(SYMBOLS)) for kind in (False, True)]
+        seen = {kind: sum(counts.get((kind, a, b), 0) for b in range(SYMBOLS)) for kind in single}
         for b in range(SYMBOLS):
-            ordinary, random = (math.log((counts.get((kind, a, b), 0) + 0.5) / (totals[kind] + 0.5 * SYMBOLS)) for kind in (False, True))
+            # Pairs lean on the share of their second symbol, as if it had followed `lean` times more.
+            ordinary, random = (math.log((counts.get((kind, a, b), 0) + lean * share[kind][b]) / (seen[kind] + lean)) for kind in (False, True))
             ratios.append(random - ordinary)
     return Markov(tuple(ratios), threshold, least)
 
