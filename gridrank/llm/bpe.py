@@ -9,6 +9,8 @@ that hold one of the vocabulary's special strings go through the library whole.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -34,18 +36,25 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None, most_cached: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"].encode() for t in json.load(f).get("added_tokens", ())]
         self.ranked = self._by_ranks(ranks) if ranks else None
         self.most_cached = most_cached
         self.known = pa.array([], pa.binary())
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    @functools.cached_property
+    def whole(self):
+        """The library's tokenizer; loaded when something needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def _by_ranks(self, path: str):
         import public_tokenizers
         import tiktoken

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrank.llm.kernels import mix, text_chunks, words
+from gridrank.llm.kernels import mix, text_chunks, tidy, words
 
 _U = np.uint64
 #: So many levels in a row have hashes in a fingerprint.
@@ -67,7 +67,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(texts: DataFrame, least_share: float, most_share: float) -> np.ndarray:
     """Sorted hashes of the terms in that share of the texts, and in two at least."""
     n = texts.count()
-    df = texts.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = texts.mapInArrow(tidy(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     band = df.where((F.col("df") >= max(2, math.ceil(least_share * n))) & (F.col("df") <= most_share * n)).select("term").toArrow()
     return np.sort(band["term"].to_numpy().astype(np.int64).view(_U))
 
@@ -206,4 +206,4 @@ def fingerprints(docs: DataFrame, *, least_share: float = 0.0005, most_share: fl
     own = dealt.select("id", "body", F.lit(True).alias("own"), "bucket")
     lent = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("first"))).select("id", "body", F.lit(False).alias("own"), F.col("goes").alias("bucket"))
     ordered = own.unionByName(lent).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.desc("own"), F.desc_nulls_last("id"), F.xxhash64("body"))
-    return ordered.select("id", "body", "own").mapInArrow(_print(band, subsets, few), RESULT).withColumnRenamed("id", id_col)
+    return ordered.select("id", "body", "own").mapInArrow(tidy(_print(band, subsets, few)), RESULT).withColumnRenamed("id", id_col)

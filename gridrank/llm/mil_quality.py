@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrank.llm.kernels import text_chunks, words
+from gridrank.llm.kernels import text_chunks, tidy, words
 
 N_WORDS = 256
 N_RATIOS = 6
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, *, words_each: int = 64, id_col: str =
     """id, held_out, score and predicted of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), words_each), f"id {kind}, score double")
+    found = rows.mapInArrow(tidy(_score(docs.sparkSession.sparkContext.broadcast(model), words_each)), f"id {kind}, score double")
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -183,4 +183,4 @@ def _accept(model, words_each: int, at_least: float, column: int):
 def accepted(docs: DataFrame, model: Model, *, words_each: int = 64, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs whose texts score `at_least` or have no words, with all their columns."""
     column = docs.columns.index(text_col)
-    return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(model), words_each, at_least, column), docs.schema)
+    return docs.mapInArrow(tidy(_accept(docs.sparkSession.sparkContext.broadcast(model), words_each, at_least, column)), docs.schema)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from gridrank.llm import store
 from gridrank.llm.bpe import encoder
+from gridrank.llm.kernels import tidy
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: So many rows of offsets at most go to every executor; more are joined by a shuffle.
@@ -191,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, *, target: d
         raise ValueError("window must be a multiple of chunk")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("body"))
-    tokens = store.keep(rows.mapInArrow(_tokenise(tokenizer, ranks, end_id), "id long, source string, bucket int, start long, n long, ids binary"), "tokens")
+    tokens = store.keep(rows.mapInArrow(tidy(_tokenise(tokenizer, ranks, end_id)), "id long, source string, bucket int, start long, n long, ids binary"), "tokens")
     sums = store.keep(tokens.groupBy("source", "bucket").agg(F.sum("n").alias("tokens")), "token_sums")
     largest = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), F.asc_nulls_first("source")).limit(most_queues).collect()
     rest = sums.agg(F.sum("tokens")).first()[0] or 0
@@ -206,4 +207,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, *, target: d
     offsets = store.keep(queued.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "offsets")
     small = F.broadcast(offsets) if offsets.count() <= MOST_BROADCAST else offsets
     placed = tokens.join(small, (F.col("bucket") == F.col("in")) & F.col("source").eqNullSafe(F.col("of"))).select("id", "n", (F.col("start") + F.col("base")).alias("start"), "queue", "ids")
-    return placed.mapInArrow(_emit(schedule, window), PIECES).withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidy(_emit(schedule, window)), PIECES).withColumnRenamed("id", id_col)

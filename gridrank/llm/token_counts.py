@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gridrank.llm import store
 from gridrank.llm.bpe import encoder
+from gridrank.llm.kernels import tidy
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -61,6 +62,6 @@ def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     # One row for each key: the ids are few bytes, so each task can hash its share while the texts stream past.
     wanted = seen.select(F.col("id").alias("wanted")).distinct().hint("shuffle_hash")
     missing = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("body")
-    missing.mapInArrow(_encode(tokenizer, ranks, version), CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    missing.mapInArrow(tidy(_encode(tokenizer, ranks, version)), CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(stored, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
