@@ -17,10 +17,12 @@ histogram of sizes and the mean length of the lists, both counted over all rows.
 Equal sets are one class and are never paired. Each list first ties its members
 to its first one; pairs that pass the bounds below are verified on whole sets.
 Then only members of a list that are still in different components meet, in
-blocks of `block` members, so that no task gets a long list. Bounds that never
+blocks of `block` members, so that no task gets a long list. Each knows the keys
+of its other lists of more than `long` members, so that a pair that shares many
+of them, as in large groups of copies, comes from the first alone. Bounds that never
 lose a link cut most pairs: sizes, what the rest of both sets after the shared
-element can add, and the parity of 512 hashed bits, whose difference is at most
-that of the sets. Components don't need the links inside them, so none are lost.
+element can add, and the parities of two hashed bits or more for each element,
+which differ in at most as many bits as the sets do in elements. Components don't need the links inside them, so none are lost.
 
 The order's counts come from a table of 2**22 slots, whatever the input; they
 decide which lists are short, never which links are found. A null or empty text
@@ -40,15 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridrank.llm import graph, store
-from gridrank.llm.kernels import mix, shingles, text_chunks, words
+from gridrank.llm.kernels import mix, shingles, text_chunks, tidy, words
 
 _U = np.uint64
 SLOTS = 1 << 22
-BITS = 512
+#: Fewest bits of a parity.
+LEAST_BITS = 256
 SIGNED = "id long, n long, cls long, parity array<long>, keys array<long>, subsets array<long>"
 
 
-def _hashed(column: pa.Array, k: int, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _hashed(column: pa.Array, k: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b, data, at in text_chunks(column, most):
         _, _, hashes, of = words(data, at)
         found, out = shingles(hashes, of, k)
@@ -59,16 +62,22 @@ def _count(k: int):
     """Slots that many shingles of a task fall in, and its documents' numbers of shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, sizes = np.zeros(SLOTS, np.int64), {}
+        slots, sizes = np.zeros(SLOTS, np.int32), {}
+        waiting: list[np.ndarray] = []
         for batch in batches:
             for _, _, found, out in _hashed(batch.column(0), k):
-                np.add.at(slots, (found % _U(SLOTS)).astype(np.int64), 1)
+                waiting.append((found % _U(SLOTS)).astype(np.int32))
+                if sum(map(len, waiting)) > SLOTS // 2:
+                    slots += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.int32)
+                    waiting = []
                 for n, c in zip(*np.unique(np.diff(out), return_counts=True), strict=True):
                     sizes[int(n)] = sizes.get(int(n), 0) + int(c)
+        if waiting:
+            slots += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.int32)
         total = int(slots.sum())
         mean = total / SLOTS
         heavy = np.flatnonzero(slots >= max(8, mean + 8 * mean**0.5))
-        light = slots[slots < max(8, mean + 8 * mean**0.5)]
+        light = slots[slots < max(8, mean + 8 * mean**0.5)].astype(np.int64)
         # How many of the other shingles of this task meet in a list, without those that only share a slot.
         meet = max(0.0, float((light * (light - 1)).sum()) - mean * total)
         kinds = np.concatenate([np.zeros(len(heavy), np.int32), np.ones(len(sizes), np.int32), [2, 3]]).astype(np.int32)
@@ -104,21 +113,23 @@ def _sign(k: int, t: float, plan):
             for a, b, found, out in _hashed(batch.column(1), k):
                 rank = (weight[(found % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(58)) | found
                 n, cls, keys, subsets = [], [], [], []
-                parity = np.zeros((b - a, BITS // 64), np.int64)
+                parity: list[np.ndarray] = []
                 for i in range(b - a):
                     own = np.unique(rank[out[i] : out[i + 1]])
                     size = len(own)
                     n.append(size)
                     if not size:
                         cls.append(None)
+                        parity.append(None)
                         keys.append(None)
                         subsets.append(None)
                         continue
                     plain = own & _U((1 << 58) - 1)
                     c = _class(plain)
                     cls.append(c)
-                    bits = (np.bincount((mix(plain) % _U(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-                    parity[i] = np.packbits(bits).view(np.int64)
+                    width = max(LEAST_BITS, 1 << (2 * size - 1).bit_length())
+                    bits = (np.bincount((mix(plain) & _U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+                    parity.append(np.packbits(bits).view(np.int64))
                     if c in seen:  # equal sets of one task enter the lists once
                         keys.append(None)
                         subsets.append(None)
@@ -133,8 +144,7 @@ def _sign(k: int, t: float, plan):
                             subsets.append(mix(first[x] * _U(0x9E3779B97F4A7C15) + first[y]).view(np.int64))
                     else:
                         subsets.append(None)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), BITS // 64).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists, pa.array(keys, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64()))], ["id", "n", "cls", "parity", "keys", "subsets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64()))], ["id", "n", "cls", "parity", "keys", "subsets"])
 
     return run
 
@@ -202,7 +212,13 @@ def _may_link(n: Column, pos: Column, m: Column, other: Column, t: float) -> Col
 
 
 def _differ(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    """Bits in which parities differ, the wider one folded to the other's width; 0 if it is wider than twice."""
+    wide, narrow = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    half = F.size(narrow)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = F.when(F.size(wide) == half, wide).otherwise(F.zip_with(F.slice(wide, F.lit(1), half), F.slice(wide, half + 1, half), xor))
+    bits = F.aggregate(F.zip_with(folded, narrow, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    return F.when(F.size(wide) <= 2 * half, bits).otherwise(0)
 
 
 def _near(n: Column, m: Column, x: Column, y: Column, t: float) -> Column:
@@ -257,7 +273,7 @@ class _Verifier:
         bits = np.zeros(MARKS, bool)
         for r in wanted.select("id").mapInArrow(_mark, "slot long").distinct().toLocalIterator():
             bits[r["slot"]] = True
-        sets = self.rows.where("id is not null").mapInArrow(_sets(self.k, spark.sparkContext.broadcast(bits)), "cls long, elements array<long>")
+        sets = self.rows.where("id is not null").mapInArrow(tidy(_sets(self.k, spark.sparkContext.broadcast(bits))), "cls long, elements array<long>")
         sets = store.keep(wanted.select("cls").join(sets, "cls").groupBy("cls").agg(F.first("elements").alias("elements")), "sets")
         both = near.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("e_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("e_b")), "b")
         shared = F.size(F.array_intersect("e_a", "e_b"))
@@ -266,46 +282,88 @@ class _Verifier:
 
 
 def _pairs(t: float, block: int):
-    """Pairs of a block of lists whose members are in different components and pass the bounds."""
+    """Pairs of a block of lists whose members are in different components, share no long list of a smaller key and pass the bounds."""
     h = round(100 * t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "x", "y", "cls", "n", "pos", "root", "side")
-        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity"))}) for b in batches]
+        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity", "lists"))}) for b in batches]
         if not parts:
             return
         table = pa.concat_tables(parts)
         cols = {c: table[c].to_numpy() for c in names}
-        parity = pa.concat_arrays([c.flatten() for c in table["parity"].chunks]).to_numpy().reshape(-1, BITS // 64).view(_U)
+        flat = pa.concat_arrays([c.flatten() for c in table["parity"].chunks]).to_numpy().view(_U)
+        wide = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["parity"].chunks]).astype(np.int64)
+        place = np.cumsum(wide) - wide
+        every = pa.concat_arrays([c.flatten() for c in table["lists"].chunks]).to_numpy()
+        many = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["lists"].chunks]).astype(np.int64)
+        begin = np.cumsum(many) - many
+        # How many long lists of a smaller key each row's class is in; keys are sorted.
+        below = np.concatenate([[0], np.cumsum(every < np.repeat(cols["key"], many))])
+        smaller = below[begin + many] - below[begin]
+        _, one = np.unique(cols["cls"], return_index=True)
+        within = np.repeat(begin[one] - (np.cumsum(many[one]) - many[one]), many[one]) + np.arange(many[one].sum())
+        held_in = np.sort(mix(np.repeat(cols["cls"][one], many[one]).view(_U) ^ mix(every[within].view(_U))))
         order = np.lexsort((cols["y"], cols["x"], cols["key"]))
-        cols, parity = {c: v[order] for c, v in cols.items()}, parity[order]
+        cols, wide, place = {c: v[order] for c, v in cols.items()}, wide[order], place[order]
+        begin, smaller = begin[order], smaller[order]
+
+        def met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether rows a and b are also in a long list of a smaller key."""
+            out = np.zeros(len(a), bool)
+            for k in range(0, len(a) if len(held_in) else 0, 20_000):
+                x, y = a[k : k + 20_000], b[k : k + 20_000]
+                n = smaller[x]
+                pair = np.repeat(np.arange(len(x)), n)
+                keys = every[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                probe = mix(cls[y][pair].view(_U) ^ mix(keys.view(_U)))
+                hit = held_in[np.minimum(np.searchsorted(held_in, probe), len(held_in) - 1)] == probe
+                out[k + pair[hit]] = True
+            return out
+
+        def bits(of: np.ndarray, size: int) -> np.ndarray:
+            """Parities of members of that width or twice as wide, folded."""
+            at = place[of][:, None] + np.arange(size)
+            out = flat[at]
+            double = wide[of] == 2 * size
+            out[double] ^= flat[at[double] + size]
+            return out
+
         new = np.ones(len(order), bool)
         new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["x"][1:] != cols["x"][:-1]) | (cols["y"][1:] != cols["y"][:-1])
         starts = np.flatnonzero(new)
+        # Rows that follow each one in its block; all blocks' pairs of a distance are tried at once.
+        after = np.repeat(np.concatenate([starts[1:], [len(order)]]), np.diff(np.concatenate([starts, [len(order)]]))) - np.arange(len(order)) - 1
+        root, n, pos, side, cls = (cols[c] for c in ("root", "n", "pos", "side", "cls"))
+        one_block = cols["x"] == cols["y"]
         found: list[np.ndarray] = []
-        held = 0
-        for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
-            root, n, pos, side, cls = (cols[c][s:e] for c in ("root", "n", "pos", "side", "cls"))
-            if e - s < 2 or (root == root[0]).all():
-                continue
-            same_block = cols["x"][s] == cols["y"][s]
-            for i in range(e - s):
-                j = np.arange(i + 1, e - s)
-                ok = root[j] != root[i]
-                if not same_block:
-                    ok &= side[j] != side[i]
-                lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok &= lo * 100 >= hi * h
-                rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])
-                ok &= np.where((pos[i] < 0) | (pos[j] < 0), lo, np.minimum(lo, rest)) * (100 + h) >= (n[i] + n[j]) * h
-                j = j[ok]
-                if not len(j):
-                    continue
-                differ = np.bitwise_count(parity[s + i] ^ parity[s + j]).sum(1).astype(np.int64)
-                j = j[differ * (100 + h) <= (n[i] + n[j]) * (100 - h)]
-                if len(j):
-                    found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
-                    held += len(j)
+        held, rows, gap = 0, np.arange(len(order)), 0
+        while True:
+            gap += 1
+            rows = rows[after[rows] >= gap]
+            if not len(rows):
+                break
+            j = rows + gap
+            ok = (root[rows] != root[j]) & (one_block[rows] | (side[rows] != side[j]))
+            i, j = rows[ok], j[ok]
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])
+            most = np.where((pos[i] < 0) | (pos[j] < 0), lo, np.minimum(lo, rest))
+            ok = (lo * 100 >= hi * h) & (most * (100 + h) >= (n[i] + n[j]) * h)
+            i, j = i[ok], j[ok]
+            size = np.minimum(wide[i], wide[j])
+            differ = np.zeros(len(i), np.int64)
+            for z in np.unique(size):
+                of = np.flatnonzero((size == z) & (np.maximum(wide[i], wide[j]) <= 2 * z))
+                differ[of] = np.bitwise_count(bits(i[of], z) ^ bits(j[of], z)).sum(1)
+            ok = differ * (100 + h) <= (n[i] + n[j]) * (100 - h)
+            i, j = i[ok], j[ok]
+            if len(i):
+                new_pair = ~met_before(i, j)
+                i, j = i[new_pair], j[new_pair]
+                a, b = cls[i], cls[j]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                held += len(a)
             if held > 200_000:
                 yield _unique(found)
                 found, held = [], 0
@@ -320,12 +378,12 @@ def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, long: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id, the smallest id that links reach, of each row."""
     spark, t = docs.sparkSession, threshold
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     # At most SLOTS slots, a histogram and two sums.
-    counted = rows.select("body").mapInArrow(_count(k), "kind int, what long, count long").groupBy("kind", "what").agg(F.sum("count").alias("count"), F.count("*").alias("tasks"))
+    counted = rows.select("body").mapInArrow(tidy(_count(k)), "kind int, what long, count long").groupBy("kind", "what").agg(F.sum("count").alias("count"), F.count("*").alias("tasks"))
     weight, sizes, meet, total, tasks = np.zeros(SLOTS, np.uint8), {}, 0, 0, 1
     for r in counted.toLocalIterator():
         if r["kind"] == 0:
@@ -338,7 +396,7 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
             total = r["count"]
     boundary = choose_boundary({n: c for n, c in sizes.items() if n}, 1 + tasks * meet / max(total, 1), t)
     plan = spark.sparkContext.broadcast((weight, boundary))
-    signed = store.keep(rows.mapInArrow(_sign(k, t, plan), SIGNED), "signed")
+    signed = store.keep(rows.mapInArrow(tidy(_sign(k, t, plan)), SIGNED), "signed")
     classes = signed.where("cls is not null and id is not null")
     # One row for each set: its smallest id; n and parity follow from the set.
     classes = store.keep(classes.groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("parity").alias("parity")), "classes")
@@ -347,7 +405,7 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
     doubles = live.where("subsets is not null").select("cls", "n", F.explode("subsets").alias("key")).select("key", "cls", "n", F.lit(-1).cast("long").alias("pos"))
     # Keys of the two kinds never meet: places tell them apart within a key that both have by chance, which costs a pair at most.
     postings = singles.unionByName(doubles).repartition("key")
-    lists = store.keep(postings.mapInArrow(_lists(t), LISTS), "lists")
+    lists = store.keep(postings.mapInArrow(tidy(_lists(t)), LISTS), "lists")
     check = _Verifier(rows, classes, k, t)
     tied = lists.where(_may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), t))
     first = check.links(tied.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct())
@@ -358,10 +416,13 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
     mixed = open_lists.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     blocks = F.ceil(F.col("again") / block).cast("long")
     mine = F.pmod(F.xxhash64("cls"), blocks)
-    dealt = open_lists.join(mixed, "key", "left_semi").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    open_lists = store.keep(open_lists.join(mixed, "key", "left_semi"), "open")
+    longer = open_lists.where(F.col("again") > long).groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
+    known = marked.select("cls", "parity").join(longer, "cls", "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<bigint>")))
+    dealt = open_lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"))
-    dealt = dealt.join(marked.select("cls", "parity"), "cls").select("key", "x", "y", "cls", "n", "pos", "root", "side", "parity")
-    met = dealt.repartition("key", "x", "y").mapInArrow(_pairs(t, block), "a long, b long").distinct()
+    dealt = dealt.join(known, "cls").select("key", "x", "y", "cls", "n", "pos", "root", "side", "parity", "lists")
+    met = dealt.repartition("key", "x", "y").mapInArrow(tidy(_pairs(t, block)), "a long, b long").distinct()
     second = check.links(met)
     final = graph.components(first.unionByName(second), "a", "b")
     # Components are named by the smallest id of all their classes' rows.
