@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by batched Viterbi in numpy.
+"""SentencePiece encoding and decoding: batched Viterbi in numpy, or merges for vocabularies trained by them.
 
 The vocabulary, scores and normaliser are those of a .model file. Texts are cut
 into words before their leading space marks, and each distinct word of a batch
@@ -11,8 +11,10 @@ A character that no piece covers scores `penalty` below the worst piece; it
 becomes its bytes where the vocabulary has them, else the unknown id, which runs
 of such characters share. This is the model of unigram vocabularies, and equals
 the library there. For a vocabulary trained by merges the scores are ranks of
-merges, and the segmentation is the best path by them, not the merge order; it
-decodes to the same text.
+merges, and the best path by them isn't its segmentation: there the distinct
+words of a batch are merged by the library, with the normaliser switched off as
+they are normalised already. No piece reaches over a cut, so no merge does. Both
+ways give the library's ids of whole texts.
 
 Null and empty texts have no pieces; texts are encoded whole; repeated rows each
 get a row, and ids may be null. An empty table gives an empty result. Only the
@@ -52,6 +54,51 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(_U)
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer; those of fixed width are given as bytes."""
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            c = data[i]
+            i += 1
+            value |= (c & 127) << shift
+            shift += 7
+            if c < 128:
+                return value
+
+    while i < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = {1: 8, 2: -1, 5: 4}[tag & 7]
+            n = varint() if n < 0 else n
+            yield tag >> 3, data[i : i + n]
+            i += n
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _trained_by_merges(proto: bytes) -> bool:
+    """Whether trainer_spec.model_type is BPE."""
+    return any(n == 2 and (3, 2) in list(_fields(spec)) for n, spec in _fields(proto))
+
+
+def _without_normaliser(proto: bytes) -> bytes:
+    """The model for text that is normalised already. A later field of a message takes the place of an earlier one."""
+    empty = bytes([1 << 3 | 2, 8]) + b"identity" + bytes([2 << 3 | 2, 0]) + bytes(x for k in (3, 4, 5) for x in (k << 3, 0))
+    return proto + bytes([3 << 3 | 2]) + _varint(len(empty)) + empty
+
+
 class Vocabulary:
     def __init__(self, path: str | None = None, proto: bytes | None = None, penalty: float = 10.0):
         import sentencepiece
@@ -75,6 +122,9 @@ class Vocabulary:
             self.by_length[k] = keys[order], np.array(ids, np.int32)[order], np.array([sp.get_score(i) for i in ids], np.float32)[order]
         self.longest = max(lengths)
         self.worst = np.float32(min(sp.get_score(i) for i in range(n) if not special[i]) - penalty)
+        proto = sp.serialized_model_proto()
+        #: For vocabularies trained by merges only.
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=_without_normaliser(proto)) if _trained_by_merges(proto) else None
         #: Whether text may be cut before a mark that follows another character.
         self.cuts = not any(MARK in p.lstrip(MARK) for k, ids in lengths.items() for p in (self.pieces[i] for i in ids))
 
@@ -153,7 +203,8 @@ class Vocabulary:
         mark[at] = True
         edges = np.flatnonzero(mark)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        ids = self.segment([w.decode() for w in words.dictionary.to_pylist()])
+        distinct = [w.decode() for w in words.dictionary.to_pylist()]
+        ids = self.merges.encode(distinct, num_threads=1) if self.merges else self.segment(distinct)
         size = np.array([len(x) for x in ids])
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
         first = np.cumsum(size) - size

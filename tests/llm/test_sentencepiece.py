@@ -109,3 +109,10 @@ def test_round_trips_and_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert sp.round_trips(frame(spark, []), PATH).count() == 0
+
+
+def test_merge_trained_segmentation_equals_the_library():
+    v = sp.Vocabulary(PATH)
+    texts = sentences(7, 300, 12) + ["the and for that likewise", "a  b", "日本 🙂 x", "", "   ", "\n\tq", "don't x=1;", "ﬁ ½ ①", "▁a▁▁ b", "a\x00b <s> <0x0A>", "x" * 3000]
+    assert [x.tolist() for x in v.encode(texts)] == v.library.encode(texts, num_threads=1)
+    assert v.encode(["the"])[0].tolist() == [v.library.piece_to_id("▁the")]
