@@ -2,19 +2,26 @@
 
 Each source is a queue of tokens: its documents one after another, in the order
 of the input partitions. Windows are the sequences. Deficit round-robin fills
-them: with every slot of `chunk` tokens each queue's deficit grows by its target
-proportion, the queue with the largest deficit fills the slot and pays for it.
-What a window doesn't even out is carried to the next.
-
-The rounds repeat with a period, so that a position in a queue gives its place
-in the stream by arithmetic; the table of slots has a fixed size whatever the
-input. When some queue runs dry, the rest go on in another phase, with what they
-still owe. Queue positions need only token totals by partition and source:
-partitions work alone, and deficits carry across them.
+them in slots of `chunk` tokens: each queue's deficit grows by its weight, and
+when it reaches half a slot the queue is served one and pays for it. So chunk k
+of a queue is due at (k + 1/2) / weight, and the stream holds the chunks by the
+time they are due, ties to the first queue. Every queue with a chunk left is at
+any time within half a slot of what it is due, however small its share is, and
+deficits never start anew; when a queue runs dry the others go on as before.
+
+The number of chunks of a queue due before some time follows from its weight, so
+a chunk's place in the stream is a sum over the queues, in whole numbers, with no
+table of slots. Queue positions need only token totals by partition and source:
+partitions work alone.
+
+Without a `target` all queues end together. With one, sources that it doesn't
+name or gives weight 0 follow after all others, in proportion to their tokens.
+Weights are kept to 2**-30 of the largest.
 
 Null texts are empty; an empty document is its end id alone. A null source is a
-source. Sources beyond the `most_queues` largest share one queue. Rows may
-repeat: each is packed. An empty table gives an empty result. Only the named
+source. Sources beyond the `most_queues` largest share a queue, partition by
+partition and there source by source, with the sum of their weights; those that
+have no weight in a `target` share another one. Rows may repeat: each is packed. An empty table gives an empty result. Only the named
 columns are read. Ids may be null.
 """
 
@@ -39,7 +46,7 @@ MOST_BROADCAST = 200_000
 
 
 def round_robin(quota: np.ndarray) -> np.ndarray:
-    """The queue of each of sum(quota) slots: the largest deficit is served, ties to the first; queue i gets quota[i] slots."""
+    """The queue of each of sum(quota) slots: the largest deficit is served, ties to the first; queue i gets quota[i] slots. One period, slot by slot; Schedule needs no table of slots."""
     total, deficit = int(quota.sum()), np.zeros(len(quota), np.int64)
     out = np.empty(total, np.int32)
     for s in range(total):
@@ -49,66 +56,41 @@ def round_robin(quota: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole(weights: np.ndarray, most: int = 1 << 30) -> np.ndarray:
+    """Weights as whole numbers of at most `most`, positive ones as 1 or more."""
+    w = np.asarray(weights, float)
+    if len(w) and w.max() > 0 and (w.max() > most or (w != np.rint(w)).any()):
+        w = np.where(w > 0, np.maximum(1, w * (most / w.max())), 0)
+    return np.rint(w).astype(np.int64)
+
+
 class Schedule:
-    """Where the chunks of each queue lie in the stream."""
+    """Where the chunks of each queue lie in the stream. Places of slots * 64 chunks and queues are worked out at once."""
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, chunk: int = 256, slots: int = 4096):
         self.chunk, self.slots = chunk, slots
-        left = np.array(totals, np.int64)
-        self.begin = [[0] for _ in totals]  # queue: first chunk of each phase
-        self.phases: list[tuple[int, np.ndarray, list[np.ndarray]]] = []  # place in the stream, quotas, each queue's slots
-        at, on = 0, left > 0
-        while (on & (left > 0)).any():
-            w = np.where(on & (left > 0), left if weights is None else np.array(weights, float), 0.0)
-            if left[w > 0].sum() < 2 * slots * chunk or not w.sum():
-                break
-            share = w / w.sum() * slots
-            quota = np.floor(share).astype(np.int64)
-            order = [i for i in np.argsort(quota - share, kind="stable") if quota[i]]
-            for k in range(slots - int(quota.sum())):
-                quota[order[k % len(order)]] += 1
-            rounds = np.full(len(left), np.iinfo(np.int64).max)
-            rounds[quota > 0] = left[quota > 0] // (quota[quota > 0] * chunk)
-            times = int(rounds.min())
-            if not times:
-                on &= rounds > 0  # all but dry: the end takes the rest of it
-                continue
-            dealt = round_robin(quota)
-            self.phases.append((at, quota, [np.flatnonzero(dealt == i) for i in range(len(left))]))
-            for i, q in enumerate(quota):
-                self.begin[i].append(self.begin[i][-1] + int(q) * times)
-            left -= quota * times * chunk
-            at += times * slots * chunk
-        self.last: list[np.ndarray] = []
-        places: list[list[int]] = [[] for _ in totals]
-        owed, rest = np.zeros(len(left)), left.astype(float)
-        while left.any():
-            owed += rest / rest.sum()
-            i = int(np.argmax(np.where(left > 0, owed, -np.inf)))
-            owed[i] -= 1
-            places[i].append(at)
-            n = min(chunk, int(left[i]))
-            left[i] -= n
-            at += n
-        self.last = [np.array(p, np.int64) for p in places]
-        self.total = at
+        self.totals = np.array(totals, np.int64)
+        self.total = int(self.totals.sum())
+        own = _whole(-(-self.totals // chunk))
+        given = own if weights is None else np.array(weights, float)
+        if not np.isfinite(given).all() or (given < 0).any():
+            raise ValueError("weights must be finite and not negative")
+        #: Queues without a weight come after the others, by their own sizes.
+        self.late = given <= 0
+        self.weights = np.where(self.late, own, own if weights is None else _whole(given))
 
     def place(self, queue: np.ndarray, chunk: np.ndarray) -> np.ndarray:
         """Place in the stream of the first token of these chunks."""
         out = np.zeros(len(chunk), np.int64)
-        for q in np.unique(queue):
-            of = np.flatnonzero(queue == q)
-            phase = np.searchsorted(self.begin[q], chunk[of], "right") - 1
-            for f in np.unique(phase):
-                own = of[phase == f]
-                within = chunk[own] - self.begin[q][f]
-                # A queue without slots in a phase begins the next one at the same chunk, so the last phase found is the right one.
-                if f < len(self.phases):
-                    at, quota, slots = self.phases[f]
-                    k, j = np.divmod(within, quota[q])
-                    out[own] = at + (k * self.slots + slots[q][j]) * self.chunk
-                else:
-                    out[own] = self.last[q][within]
+        every = np.arange(len(self.totals))
+        step = max(1, self.slots * 64 // max(1, len(every)))
+        for s in range(0, len(chunk), step):
+            q, k = np.asarray(queue[s : s + step])[:, None], np.asarray(chunk[s : s + step], np.int64)[:, None]
+            # The chunks j of a queue p with (2 j + 1) / weights[p] before (2 k + 1) / weights[q], or equal and p before q.
+            last = ((2 * k + 1) * self.weights - (every >= q)) // self.weights[q]
+            before = np.minimum((last + 1) // 2 * self.chunk, self.totals)
+            before = np.where(self.late == self.late[q], before, np.where(self.late[q], self.totals, 0))
+            out[s : s + step] = before.sum(axis=1)
         return out
 
 
@@ -187,22 +169,28 @@ def _emit(schedule, window: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, *, target: dict[str | None, float] | None = None, window: int = 1024, chunk: int = 256, end_id: int = 0, most_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each piece of a document. `target` gives each source's weight; without it, the sources' shares of all tokens."""
+    """One row for each piece of a document. `target` gives each source's weight; without it, the sources' shares of all slots."""
     if window % chunk:
         raise ValueError("window must be a multiple of chunk")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("body"))
     tokens = store.keep(rows.mapInArrow(tidy(_tokenise(tokenizer, ranks, end_id)), "id long, source string, bucket int, start long, n long, ids binary"), "tokens")
     sums = store.keep(tokens.groupBy("source", "bucket").agg(F.sum("n").alias("tokens")), "token_sums")
-    largest = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), F.asc_nulls_first("source")).limit(most_queues).collect()
+    by_source = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    largest = by_source.orderBy(F.desc("tokens"), F.asc_nulls_first("source")).limit(most_queues).collect()
     rest = sums.agg(F.sum("tokens")).first()[0] or 0
     totals = [r["tokens"] for r in largest]
-    totals.append(rest - sum(totals))
-    weights = None if target is None else [float(target.get(r["source"], 0.0)) for r in largest] + [0.0]
+    # Sources that share a queue: those with a weight, and the others.
+    alone = {r["source"] for r in largest}
+    weighed = spark.createDataFrame([(k, float(x)) for k, x in (target or {}).items() if x > 0 and k not in alone], "name string, weight double")
+    pooled = by_source.join(F.broadcast(weighed), F.col("source").eqNullSafe(F.col("name"))).select("source", "tokens", "weight")
+    pool_tokens, pool_weight = pooled.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    totals += [pool_tokens, rest - sum(totals) - pool_tokens]
+    weights = None if target is None else [float(target.get(r["source"], 0.0)) for r in largest] + [pool_weight, 0.0]
     schedule = spark.sparkContext.broadcast(Schedule(totals, weights, chunk))
-    queues = spark.createDataFrame([(r["source"], i) for i, r in enumerate(largest)], "of string, queue int")
+    queues = spark.createDataFrame([(r["source"], i) for i, r in enumerate(largest)], "of string, queue int").unionByName(weighed.select(F.col("name").alias("of"), F.lit(len(largest)).alias("queue")))
     # One row for each source and input partition.
-    queued = sums.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "bucket", "tokens", F.coalesce("queue", F.lit(len(largest))).alias("queue"))
+    queued = sums.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "bucket", "tokens", F.coalesce("queue", F.lit(len(largest) + 1)).alias("queue"))
     before = Window.partitionBy("queue").orderBy("bucket", F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = store.keep(queued.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "offsets")
     small = F.broadcast(offsets) if offsets.count() <= MOST_BROADCAST else offsets

@@ -118,3 +118,53 @@ def test_every_window_keeps_the_mixture():
     for end in range(1024, plan.total * 3 // 4, 10_240):
         got = np.bincount(owner[:end], minlength=5)
         assert (np.abs(got - end * share) < 256 * 5 + 0.03 * end).all()
+
+
+def owners(totals, weights=None, chunk=256):
+    """The queue of every token of the stream; each place is taken once."""
+    plan = packing.Schedule(totals, weights, chunk)
+    owner = np.full(plan.total, -1)
+    for q, n in enumerate(totals):
+        k = np.arange(-(-n // chunk))
+        for c, at in zip(k, plan.place(np.full(len(k), q), k), strict=True):
+            size = min(chunk, n - c * chunk)
+            assert (owner[at : at + size] == -1).all()
+            owner[at : at + size] = q
+    assert (owner >= 0).all()
+    return owner
+
+
+def test_tiny_sources_are_mixed_in():
+    """A source of less than 1/4096 of the tokens is spread over the whole stream."""
+    at = np.flatnonzero(owners([8_000_000, 4_000_000, 256 * 10]) == 2)
+    starts = at[::256] / 12_002_560
+    assert len(starts) == 10 and (np.abs(starts - (np.arange(10) + 0.5) / 10) < 0.01).all()
+
+
+@pytest.mark.parametrize("scale", [100, 10_000])
+def test_targets_hold_whatever_the_size(scale):
+    """Weights 1 and 3 until the second queue is dry; a queue of no weight comes last."""
+    totals = [scale * 300, scale * 300, scale * 50]
+    owner = owners(totals, [1.0, 3.0, 0.0])
+    head = owner[: scale * 380]
+    for end in range(8 * 256, len(head), 4096):
+        assert abs((head[:end] == 1).sum() - 0.75 * end) <= 2 * 256
+    assert (owner[: scale * 600] != 2).all() and (owner[scale * 600 :] == 2).all()
+
+
+def test_awkward_weights_leave_no_gap():
+    rng = random.Random(5)
+    for _ in range(20):
+        n = rng.randint(1, 9)
+        owners([rng.choice([0, 1, 255, 256, 257, 5000, 60_000]) for _ in range(n)], [rng.choice([0, 1e-12, 0.1, 1 / 3, 1, 7.7, 1e9]) for _ in range(n)])
+
+
+def test_pooled_sources_keep_their_weights(spark):
+    """Of three sources in one queue at most, the two small ones are named by the target."""
+    big, small = " ".join(["word"] * 3000), " ".join(["word"] * 300)
+    rows = [(1, big, "big"), (2, small, "named"), (3, small, "also"), (4, small, "other")]
+    found = packing.pack(frame(spark, rows, 1), PATH, RANKS, target={"named": 1.0, "also": 1.0, "big": 1.0, "absent": 50.0}, window=64, chunk=16, most_queues=1).collect()
+    check_pieces(found, rows, 64)
+    end = {i: max(p.sequence_id for p in found if p.doc_id == i) for i in (1, 2, 3, 4)}
+    start = {i: min(p.sequence_id for p in found if p.doc_id == i) for i in (1, 2, 3, 4)}
+    assert max(end[2], end[3]) < end[1] and start[4] >= end[1]
