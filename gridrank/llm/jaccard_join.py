@@ -113,6 +113,7 @@ def _sign(k: int, t: float, plan):
             for a, b, found, out in _hashed(batch.column(1), k):
                 rank = (weight[(found % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(58)) | found
                 n, cls, keys, subsets = [], [], [], []
+                named = batch.column(0)[a:b].is_valid().to_pylist()
                 parity: list[np.ndarray] = []
                 for i in range(b - a):
                     own = np.unique(rank[out[i] : out[i + 1]])
@@ -130,7 +131,7 @@ def _sign(k: int, t: float, plan):
                     width = max(LEAST_BITS, 1 << (2 * size - 1).bit_length())
                     bits = (np.bincount((mix(plain) & _U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
                     parity.append(np.packbits(bits).view(np.int64))
-                    if c in seen:  # equal sets of one task enter the lists once
+                    if c in seen or not named[i]:  # equal sets of one task enter the lists once, by a row with an id
                         keys.append(None)
                         subsets.append(None)
                         continue

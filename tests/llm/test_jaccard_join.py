@@ -98,3 +98,11 @@ def test_components_of_chains(spark):
 
 def test_empty_table(spark):
     assert jaccard_join.join(frame(spark, [])).count() == 0
+
+
+def test_rows_without_an_id_hide_no_copies(spark):
+    """A null-id copy comes first in the only task; the rows with ids after it still link."""
+    text = sentences(11, 1, 80)[0] + " " + " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, "s"), (5, text, "s"), (6, text + " more", "s")]
+    found = result(jaccard_join.join(frame(spark, rows).coalesce(1).sortWithinPartitions("doc_id")))
+    assert found == brute(rows) and [c for _, _, c in found] == [5, 5, None]
