@@ -93,6 +93,14 @@ def edgelist_compaction(spark, d):
     return ids.select(F.col("k").alias("node_index"), "node")
 
 
+@query(w("SELECT CAST(dense_rank() OVER (ORDER BY i) - 1 AS BIGINT) AS node_index, i AS node FROM (SELECT 2 * i AS i FROM nxt UNION SELECT 2 * j FROM nxt)", "nxt"))
+def edgelist_compaction_whole(spark, d):
+    """All edges; doubled ids leave the gaps."""
+    edges = views.part_next(spark, d)
+    _, ids = edge_list.compact(edges.select((2 * F.col("i")).alias("src"), (2 * F.col("j")).alias("dst")))
+    return ids.select(F.col("k").alias("node_index"), "node")
+
+
 def _edge_file(spark, d) -> str:
     edges = views.part_next(spark, d).select("i", "j", F.explode(F.array_repeat(F.lit(1), F.col("v").cast("int"))))
     n, many = views.n_parts(spark, d), edges.count()
@@ -309,6 +317,12 @@ def cogroup_outer(spark, d):
     return joins.fill_missing_columns(views.nation_trade(spark, d).where("j % 2 = 0"), 25)
 
 
+@query(w("SELECT i, 2 * j AS j, v FROM trade UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 50 FROM range(50) AS a(i), (SELECT j FROM range(50) AS r(j) WHERE j NOT IN (SELECT 2 * j FROM trade)) m", "trade"))
+def cogroup_outer_whole(spark, d):
+    """All cells; doubled columns leave the empty ones."""
+    return joins.fill_missing_columns(views.nation_trade(spark, d).withColumn("j", 2 * F.col("j")), 50)
+
+
 @query(w("SELECT dag.i, dag.v * sizes.x AS product FROM dag JOIN sizes ON dag.j = sizes.i", "dag", "sizes"))
 def cogroup_rank(spark, d):
     return joins.rank_products(views.part_sizes(spark, d).select(F.col("i").alias("k"), F.col("x").alias("r")), views.part_dag(spark, d))
@@ -626,6 +640,13 @@ def matmul_dense(spark, d):
     return linalg.matmul(m, coo.transpose(m.where("i < 10"))).select("i", "j", F.round("v", 6).alias("v"))
 
 
+@query(w("SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM emb a JOIN emb b ON a.i = b.i GROUP BY a.j, b.j", "emb"))
+def matmul_dense_whole(spark, d):
+    """All embeddings: the dense product E'E of 64 x 64."""
+    m = views.embeddings(spark, d)
+    return linalg.matmul(coo.transpose(m), m).select("i", "j", F.round("v", 6).alias("v"))
+
+
 @query(w("SELECT 2 * (d.i // 2) + r AS i, sum(CASE WHEN d.i % 2 = r THEN d.v * s.x ELSE 0 END) AS x FROM dag d JOIN sizes s ON d.j = s.i, range(2) AS t(r) GROUP BY 1", "dag", "sizes"))
 def bcsr_mult(spark, d):
     return linalg.bcsr_mult(linalg.bcsr(views.part_dag(spark, d)), views.part_sizes(spark, d), n=views.n_parts(spark, d))
@@ -752,6 +773,14 @@ def normalize_export(spark, d):
     return spark.read.csv(path, sep=" ", schema="i bigint, j bigint, v double").select("i", "j", F.round("v", 9).alias("v"))
 
 
+@query(w("SELECT j AS i, 2 * i AS j, round(v / count(*) OVER (PARTITION BY i), 9) AS v FROM trade UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 50 FROM range(50) AS a(i), (SELECT j FROM range(50) AS r(j) WHERE j NOT IN (SELECT 2 * i FROM trade)) m", "trade"))
+def normalize_export_whole(spark, d):
+    """All rows; doubled ones leave the empty columns."""
+    path = session.new_path(spark, "normalized")
+    normalize.export(views.nation_trade(spark, d).withColumn("i", 2 * F.col("i")), 50, path)
+    return spark.read.csv(path, sep=" ", schema="i bigint, j bigint, v double").select("i", "j", F.round("v", 9).alias("v"))
+
+
 @query("SELECT CAST(1 AS DOUBLE) AS mass")
 def rank_mass_check(spark, d):
     n = views.n_parts(spark, d)
