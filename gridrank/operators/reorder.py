@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,12 @@ def bandwidth(matrix: DataFrame) -> DataFrame:
     return matrix.agg(F.coalesce(F.max(F.abs(F.col("i") - F.col("j"))), F.lit(0)).alias("bandwidth"))
 
 
-def reverse_cuthill_mckee(matrix: DataFrame, n: int, most_levels: int = 10_000) -> DataFrame:
+def reverse_cuthill_mckee(matrix: DataFrame, n: int, most_levels: int | None = None) -> DataFrame:
     """(old, new): nodes by descending breadth-first level, each component searched from its node of least degree.
 
     Levels grow by joins, all components at once, one round for each level; within
     a level nodes stand by the place of the first neighbour before them, then by degree.
+    Levels grow until none is left; more than `most_levels` of them, if given, are an error.
     """
     spark = matrix.sparkSession
     both = matrix.select("i", "j").unionByName(matrix.select(F.col("j").alias("i"), F.col("i").alias("j"))).where("i <> j").distinct()
@@ -76,7 +79,7 @@ def reverse_cuthill_mckee(matrix: DataFrame, n: int, most_levels: int = 10_000)
     start = label.df.where(F.col("root.k") == F.col("k")).select("k", F.col("root").alias("root"), F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("parent"))
     done = Kept(numbered(start, ["root"], "place").select("k", "root", "level", "place"), "rcm_done")
     front, base = done.df, done.df.count()
-    for level in range(1, most_levels):
+    for level in count(1):
         reached = edges.df.join(front.select(F.col("k").alias("i"), "place", "root"), "i").groupBy("j", "root").agg(F.min("place").alias("parent"))
         new = reached.withColumnRenamed("j", "k").join(done.df.select("k"), "k", "left_anti").join(nodes, "k")
         found = numbered(new.select("k", "root", "parent", "degree"), ["root", "parent", "degree", "k"], "within")
@@ -84,6 +87,8 @@ def reverse_cuthill_mckee(matrix: DataFrame, n: int, most_levels: int = 10_000)
         many = front.count()
         if not many:
             break
+        if most_levels is not None and level >= most_levels:
+            raise RuntimeError(f"more than {most_levels} breadth-first levels")
         base += many
         after = Kept(done.df.unionByName(front), "rcm_done")
         done.drop()

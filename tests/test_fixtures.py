@@ -214,3 +214,10 @@ def test_entry_module(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rcm_never_stops_short_without_an_error(spark):
+    path = matrix(spark, [(k, k + 1) for k in range(2)])
+    assert reorder.reverse_cuthill_mckee(path, 3).count() == 3
+    with pytest.raises(RuntimeError):
+        reorder.reverse_cuthill_mckee(path, 3, most_levels=1)
