@@ -143,19 +143,6 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest member of each one's component."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 LINKED = "cls long, links long, root long"
 
 
@@ -194,7 +181,7 @@ def _compare(least: float):
         if not ends:
             return pa.table({c: pa.array([], pa.int64()) for c in ("cls", "links", "root")})
         i, j = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
-        root = _components(len(cls), i, j)
+        root = graph.least_members(len(cls), i, j)
         own = np.unique(np.concatenate([i, j]))
         return pa.table({"cls": cls[own], "links": links[own], "root": cls[root[own]]})
 

@@ -15,14 +15,16 @@ The boundary is the size at which enumerating costs as much as scanning, by the
 histogram of sizes and the mean length of the lists, both counted over all rows.
 
 Equal sets are one class and are never paired. Each list first ties its members
-to its first one; pairs that pass the bounds below are verified on whole sets.
-Then only members of a list that are still in different components meet, in
-blocks of `block` members, so that no task gets a long list. Each knows the keys
-of its other lists of more than `long` members, so that a pair that shares many
-of them, as in large groups of copies, comes from the first alone. Bounds that never
-lose a link cut most pairs: sizes, what the rest of both sets after the shared
-element can add, and the parities of two hashed bits or more for each element,
-which differ in at most as many bits as the sets do in elements. Components don't need the links inside them, so none are lost.
+to its first one. Then members of a list that are still in different components
+meet, in blocks of `block` members, so that no task gets a long list. In a round
+each component of a block proposes one pair, the one whose parities differ least,
+so a group of copies proposes no more pairs than it has members; when a round
+finds fewer than `few` links, the pairs that still cross components are tried,
+each once. Pairs are verified on whole sets. Bounds that never lose a link cut
+most pairs: sizes, what the rest of both sets after the shared element can add,
+and the parities of two hashed bits or more for each element, which differ in at
+most as many bits as the sets do in elements. Components don't need the links
+inside them, so none are lost.
 
 The order's counts come from a table of 2**22 slots, whatever the input; they
 decide which lists are short, never which links are found. A null or empty text
@@ -238,8 +240,9 @@ def _sets(k: int, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = (mix(batch.column(0).to_numpy().view(_U)) % _U(MARKS)).astype(np.int64)
-            batch = batch.filter(pa.array(bits.value[slots]))
+            if bits is not None:
+                slots = (mix(batch.column(0).to_numpy().view(_U)) % _U(MARKS)).astype(np.int64)
+                batch = batch.filter(pa.array(bits.value[slots]))
             for a, b, found, out in _hashed(batch.column(1), k):
                 rows = [np.unique(found[out[i] : out[i + 1]]) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(_class, rows)), pa.int64()), pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))], ["cls", "elements"])
@@ -261,34 +264,57 @@ class _Verifier:
     """Links among pairs of classes, by their whole sets."""
 
     def __init__(self, rows: DataFrame, classes: DataFrame, k: int, t: float):
-        self.rows, self.classes, self.k, self.t = rows, classes, k, t
+        self.rows, self.classes, self.k, self.t = rows.where("id is not null"), classes, k, t
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, n_a, n_b), those whose parities don't rule a link out."""
+        first = self.classes.select(F.col("cls").alias("a"), F.col("parity").alias("p_a"))
+        second = self.classes.select(F.col("cls").alias("b"), F.col("parity").alias("p_b"))
+        return pairs.join(first, "a").join(second, "b").where(_near(F.col("n_a"), F.col("n_b"), F.col("p_a"), F.col("p_b"), self.t)).select("a", "b", "n_a", "n_b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
+        """Of pairs (a, b, n_a, n_b), those that link, as a kept table."""
         spark = pairs.sparkSession
-        cheap = self.classes.select("cls", "n", "parity")
-        first = cheap.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"))
-        second = cheap.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"))
-        near = store.keep(pairs.join(first, "a").join(second, "b").where(_near(F.col("n_a"), F.col("n_b"), F.col("p_a"), F.col("p_b"), self.t)).select("a", "b", "n_a", "n_b"), "pairs")
+        near = store.keep(pairs, "pairs")
         wanted = store.keep(near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct().join(self.classes.select("cls", "id"), "cls"), "wanted")
-        bits = np.zeros(MARKS, bool)
-        for r in wanted.select("id").mapInArrow(_mark, "slot long").distinct().toLocalIterator():
-            bits[r["slot"]] = True
-        sets = self.rows.where("id is not null").mapInArrow(tidy(_sets(self.k, spark.sparkContext.broadcast(bits))), "cls long, elements array<long>")
+        if wanted.count() <= graph.MOST_BROADCAST:
+            rows = self.rows.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi").select("id", "body")
+            bits = None
+        else:
+            rows, bits = self.rows, np.zeros(MARKS, bool)
+            for r in wanted.select("id").mapInArrow(_mark, "slot long").distinct().toLocalIterator():
+                bits[r["slot"]] = True
+        sets = rows.mapInArrow(tidy(_sets(self.k, None if bits is None else spark.sparkContext.broadcast(bits))), "cls long, elements array<long>")
         sets = store.keep(wanted.select("cls").join(sets, "cls").groupBy("cls").agg(F.first("elements").alias("elements")), "sets")
         both = near.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("e_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("e_b")), "b")
         shared = F.size(F.array_intersect("e_a", "e_b"))
         h = round(100 * self.t)
-        return store.keep(both.where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * h).select("a", "b"), "links")
+        found = store.keep(both.where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * h).select("a", "b"), "links")
+        for done in (near, wanted, sets):
+            store.remove(done)
+        return found
+
+
+MET = "key long, a long, b long, n_a long, n_b long"
 
 
-def _pairs(t: float, block: int):
-    """Pairs of a block of lists whose members are in different components, share no long list of a smaller key and pass the bounds."""
+def _once(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each pair, whatever its lists."""
+    table = pa.Table.from_batches(found)
+    a, b = table["a"].to_numpy(), table["b"].to_numpy()
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return table.take(pa.array(order[new])).combine_chunks().to_batches()[0]
+
+
+def _pairs(t: float, every: bool):
+    """Pairs of a block of lists whose members are in different components and pass the bounds: all of them, or of each component the one whose parities differ least for its size."""
     h = round(100 * t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "x", "y", "cls", "n", "pos", "root", "side")
-        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity", "lists"))}) for b in batches]
+        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity"))}) for b in batches]
         if not parts:
             return
         table = pa.concat_tables(parts)
@@ -296,31 +322,8 @@ def _pairs(t: float, block: int):
         flat = pa.concat_arrays([c.flatten() for c in table["parity"].chunks]).to_numpy().view(_U)
         wide = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["parity"].chunks]).astype(np.int64)
         place = np.cumsum(wide) - wide
-        every = pa.concat_arrays([c.flatten() for c in table["lists"].chunks]).to_numpy()
-        many = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["lists"].chunks]).astype(np.int64)
-        begin = np.cumsum(many) - many
-        # How many long lists of a smaller key each row's class is in; keys are sorted.
-        below = np.concatenate([[0], np.cumsum(every < np.repeat(cols["key"], many))])
-        smaller = below[begin + many] - below[begin]
-        _, one = np.unique(cols["cls"], return_index=True)
-        within = np.repeat(begin[one] - (np.cumsum(many[one]) - many[one]), many[one]) + np.arange(many[one].sum())
-        held_in = np.sort(mix(np.repeat(cols["cls"][one], many[one]).view(_U) ^ mix(every[within].view(_U))))
         order = np.lexsort((cols["y"], cols["x"], cols["key"]))
         cols, wide, place = {c: v[order] for c, v in cols.items()}, wide[order], place[order]
-        begin, smaller = begin[order], smaller[order]
-
-        def met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Whether rows a and b are also in a long list of a smaller key."""
-            out = np.zeros(len(a), bool)
-            for k in range(0, len(a) if len(held_in) else 0, 20_000):
-                x, y = a[k : k + 20_000], b[k : k + 20_000]
-                n = smaller[x]
-                pair = np.repeat(np.arange(len(x)), n)
-                keys = every[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                probe = mix(cls[y][pair].view(_U) ^ mix(keys.view(_U)))
-                hit = held_in[np.minimum(np.searchsorted(held_in, probe), len(held_in) - 1)] == probe
-                out[k + pair[hit]] = True
-            return out
 
         def bits(of: np.ndarray, size: int) -> np.ndarray:
             """Parities of members of that width or twice as wide, folded."""
@@ -330,6 +333,11 @@ def _pairs(t: float, block: int):
             out[double] ^= flat[at[double] + size]
             return out
 
+        def met(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            turn = cls[i] > cls[j]
+            a, b = np.where(turn, j, i), np.where(turn, i, j)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (cols["key"][i], cls[a], cls[b], n[a], n[b])], ["key", "a", "b", "n_a", "n_b"])
+
         new = np.ones(len(order), bool)
         new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["x"][1:] != cols["x"][:-1]) | (cols["y"][1:] != cols["y"][:-1])
         starts = np.flatnonzero(new)
@@ -337,8 +345,9 @@ def _pairs(t: float, block: int):
         after = np.repeat(np.concatenate([starts[1:], [len(order)]]), np.diff(np.concatenate([starts, [len(order)]]))) - np.arange(len(order)) - 1
         root, n, pos, side, cls = (cols[c] for c in ("root", "n", "pos", "side", "cls"))
         one_block = cols["x"] == cols["y"]
-        found: list[np.ndarray] = []
-        held, rows, gap = 0, np.arange(len(order)), 0
+        best, other = np.full(len(order), np.inf), np.full(len(order), -1)
+        found: list[pa.RecordBatch] = []
+        rows, gap = np.arange(len(order)), 0
         while True:
             gap += 1
             rows = rows[after[rows] >= gap]
@@ -358,28 +367,42 @@ def _pairs(t: float, block: int):
                 of = np.flatnonzero((size == z) & (np.maximum(wide[i], wide[j]) <= 2 * z))
                 differ[of] = np.bitwise_count(bits(i[of], z) ^ bits(j[of], z)).sum(1)
             ok = differ * (100 + h) <= (n[i] + n[j]) * (100 - h)
-            i, j = i[ok], j[ok]
-            if len(i):
-                new_pair = ~met_before(i, j)
-                i, j = i[new_pair], j[new_pair]
-                a, b = cls[i], cls[j]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                held += len(a)
-            if held > 200_000:
-                yield _unique(found)
-                found, held = [], 0
+            i, j, differ = i[ok], j[ok], differ[ok]
+            if every and len(i):
+                found.append(met(i, j))
+                if sum(map(len, found)) > 200_000:
+                    yield _once(found)
+                    found = []
+            elif len(i):
+                # Ties go to the pair whose classes' hash is least, the same one in every list.
+                far = differ / (n[i] + n[j]) + (mix((cls[i] ^ cls[j]).view(_U)) >> _U(12)).astype(float) * 2.0**-72
+                for p, q in ((i, j), (j, i)):
+                    closer = far < best[p]
+                    best[p[closer]], other[p[closer]] = far[closer], q[closer]
         if found:
-            yield _unique(found)
+            yield _once(found)
+        rows = np.flatnonzero(other >= 0)
+        rows = rows[np.lexsort((best[rows], root[rows], np.searchsorted(starts, rows, "right")))]
+        if len(rows):
+            block = np.searchsorted(starts, rows, "right")
+            first = np.ones(len(rows), bool)
+            first[1:] = (block[1:] != block[:-1]) | (root[rows][1:] != root[rows][:-1])
+            yield met(rows[first], other[rows[first]])
 
     return run
 
 
-def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _meet(waiting: DataFrame, roots: DataFrame, t: float, block: int, every: bool) -> DataFrame:
+    """Pairs of the lists' members that are in different components by now, met in blocks."""
+    side = F.broadcast if roots.count() <= graph.MOST_BROADCAST else lambda df: df
+    rooted = waiting.join(side(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    blocks = F.ceil(F.col("again") / block).cast("long")
+    dealt = rooted.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"), "parity")
+    return dealt.repartition("key", "x", "y").mapInArrow(tidy(_pairs(t, every)), MET)
 
 
-def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, long: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, few: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id, the smallest id that links reach, of each row."""
     spark, t = docs.sparkSession, threshold
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
@@ -398,37 +421,43 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
     boundary = choose_boundary({n: c for n, c in sizes.items() if n}, 1 + tasks * meet / max(total, 1), t)
     plan = spark.sparkContext.broadcast((weight, boundary))
     signed = store.keep(rows.mapInArrow(tidy(_sign(k, t, plan)), SIGNED), "signed")
-    classes = signed.where("cls is not null and id is not null")
-    # One row for each set: its smallest id; n and parity follow from the set.
-    classes = store.keep(classes.groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("parity").alias("parity")), "classes")
     live = signed.where("id is not null")
+    # One row for each set: its smallest id; n and parity follow from the set.
+    classes = store.keep(live.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("parity").alias("parity")), "classes")
+    members = store.keep(signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")), "members")
     singles = live.where("keys is not null").select("cls", "n", F.posexplode("keys").alias("pos", "key")).select("key", "cls", "n", F.col("pos").cast("long"))
     doubles = live.where("subsets is not null").select("cls", "n", F.explode("subsets").alias("key")).select("key", "cls", "n", F.lit(-1).cast("long").alias("pos"))
     # Keys of the two kinds never meet: places tell them apart within a key that both have by chance, which costs a pair at most.
     postings = singles.unionByName(doubles).repartition("key")
     lists = store.keep(postings.mapInArrow(tidy(_lists(t)), LISTS), "lists")
+    store.remove(signed)
     check = _Verifier(rows, classes, k, t)
     tied = lists.where(_may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), t))
-    first = check.links(tied.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct())
-    roots = store.keep(graph.components(first, "a", "b"), "roots")
-    # Lists whose members are all in one component are done; the others meet in blocks.
-    marked = classes.select("cls", "parity").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "parity", F.coalesce("root", "cls").alias("root"))
-    open_lists = lists.where("again > 0").select("key", "cls", "n", "pos", "again").join(marked.select("cls", "root"), "cls")
-    mixed = open_lists.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("again") / block).cast("long")
-    mine = F.pmod(F.xxhash64("cls"), blocks)
-    open_lists = store.keep(open_lists.join(mixed, "key", "left_semi"), "open")
-    longer = open_lists.where(F.col("again") > long).groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
-    known = marked.select("cls", "parity").join(longer, "cls", "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<bigint>")))
-    dealt = open_lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"))
-    dealt = dealt.join(known, "cls").select("key", "x", "y", "cls", "n", "pos", "root", "side", "parity", "lists")
-    met = dealt.repartition("key", "x", "y").mapInArrow(tidy(_pairs(t, block)), "a long, b long").distinct()
-    second = check.links(met)
-    final = graph.components(first.unionByName(second), "a", "b")
+    turn = F.col("cls") > F.col("head")
+    tied = tied.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"), F.when(turn, F.col("head_n")).otherwise(F.col("n")).alias("n_a"), F.when(turn, F.col("n")).otherwise(F.col("head_n")).alias("n_b"))
+    links = check.links(check.near(tied.distinct()))
+    waiting = store.keep(lists.where("again > 0").join(classes.select("cls", "parity"), "cls").select("key", "cls", "n", "pos", "again", "parity"), "waiting")
+    store.remove(lists)
+    tried, every, done = None, False, False
+    while not done:
+        roots = store.keep(graph.components(links, "a", "b"), "roots")
+        met = store.keep(_meet(waiting, roots, t, block, every), "met")
+        new = met.select("a", "b", "n_a", "n_b").distinct()
+        if tried is not None:
+            new = new.join(tried, ["a", "b"], "left_anti")
+        more = check.links(new)
+        links = links.unionByName(more)
+        before, done = waiting, every
+        if not done:  # lists without a pair now won't have one later
+            waiting = store.keep(before.join(met.select("key").distinct(), "key", "left_semi"), "waiting")
+            tried = met.select("a", "b") if tried is None else tried.unionByName(met.select("a", "b"))
+            every = more.count() < max(1, few)
+        store.remove(before)
+        store.remove(roots)
+    final = graph.components(links, "a", "b")
     # Components are named by the smallest id of all their classes' rows.
     rooted = classes.select("cls", "id").join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("cls", "component_id")
-    linked = live.where("cls is not null").select("id", "n", "cls").join(named, "cls").select("id", "n", "component_id")
-    alone = signed.where("cls is null or id is null").select("id", "n", F.col("id").alias("component_id"))
+    linked = members.where("cls is not null").join(named, "cls").select("id", "n", "component_id")
+    alone = members.where("cls is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

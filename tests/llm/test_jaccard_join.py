@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from common import awkward, frame, sentences
 
 from gridrank.llm import graph, jaccard_join
@@ -90,7 +91,9 @@ def test_boundary_by_cost():
     assert jaccard_join.choose_boundary({4: 10, 40: 10}, 50.0, 0.75) == 40
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", (0, 200_000))
+def test_components_of_chains(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_LOCAL", most)
     rows = [(k, k + 1) for k in range(30)] + [(100, 102), (102, 101), (5, 5), (None, 7)]
     found = graph.components(spark.createDataFrame(rows, "a long, b long"), "a", "b")
     assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(31)] + [(k, 100) for k in (100, 101, 102)]
@@ -106,3 +109,35 @@ def test_rows_without_an_id_hide_no_copies(spark):
     rows = [(None, text, "s"), (5, text, "s"), (6, text + " more", "s")]
     found = result(jaccard_join.join(frame(spark, rows).coalesce(1).sortWithinPartitions("doc_id")))
     assert found == brute(rows) and [c for _, _, c in found] == [5, 5, None]
+
+
+def group(seed: int, n: int, words: int = 60, edits: int = 2) -> list:
+    """n copies of one text, each with other words in a few places."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for c in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, edits)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        rows.append((c, " ".join(w), "s"))
+    return rows
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    rows = group(5, 150, 40, 3) + near_copies(6, 3, 8)
+    for few in (1, 1000):
+        assert result(jaccard_join.join(frame(spark, rows), block=16, few=few)) == brute(rows)
+    monkeypatch.setattr(graph, "MOST_LOCAL", 3)
+    monkeypatch.setattr(graph, "MOST_BROADCAST", 3)
+    assert result(jaccard_join.join(frame(spark, rows), block=16)) == brute(rows)
+
+
+def test_a_large_group_proposes_few_pairs(spark, monkeypatch):
+    rows = group(7, 3000, words=120, edits=1) + group(8, 1500)
+    tried = []
+    links = jaccard_join._Verifier.links
+    monkeypatch.setattr(jaccard_join._Verifier, "links", lambda self, pairs: tried.append(pairs.count()) or links(self, pairs))
+    found = result(jaccard_join.join(frame(spark, [(i, t, s) for i, (_, t, s) in enumerate(rows)], 4)))
+    assert sum(tried) < 4 * len(rows)
+    assert {c for (_, i), _, c in found if i < 3000} == {0}
