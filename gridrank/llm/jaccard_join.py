@@ -16,7 +16,7 @@ histogram of sizes and the mean length of the lists, both counted over all rows.
 
 Equal sets are one class and are never paired. Each list first ties its members
 to its first one. Then members of a list that are still in different components
-meet, in blocks of `block` members, so that no task gets a long list. In a round
+meet, once for lists of the same members, in blocks of `block` members, so that no task gets a long list. In a round
 each component of a block proposes one pair, the one whose parities differ least,
 so a group of copies proposes no more pairs than it has members; when a round
 finds fewer than `few` links, the pairs that still cross components are tried,
@@ -195,16 +195,18 @@ def _shared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
     again[rest[:-1][close]] = True
     # Longer lists than one block are cut into blocks of their members that can matter.
     left = np.add.reduceat(again.astype(np.int64), start)
+    # Lists of the same members need to meet once; this names the members.
+    of = np.add.reduceat(np.where(again, mix(mixed), _U(0)), start).view(np.int64)
     heads = [np.repeat(x[head], length) for x in (cls, n, pos)]
     low, high = np.minimum(n, heads[1]), np.maximum(n, heads[1])
     keep = ~main & np.repeat(length > 1, length) & (again | (low * 100 >= high * round(100 * t)))
     for i in range(0, len(key), 65_536):
         k = keep[i : i + 65_536]
-        cols = [x[i : i + 65_536][k] for x in (key, cls, n, pos, *heads, np.where(again, np.repeat(left, length), 0))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "pos", "head", "head_n", "head_pos", "again"])
+        cols = [x[i : i + 65_536][k] for x in (key, cls, n, pos, *heads, np.where(again, np.repeat(left, length), 0), np.repeat(of, length))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "pos", "head", "head_n", "head_pos", "again", "of"])
 
 
-LISTS = "key long, cls long, n long, pos long, head long, head_n long, head_pos long, again long"
+LISTS = "key long, cls long, n long, pos long, head long, head_n long, head_pos long, again long, of long"
 
 
 def _may_link(n: Column, pos: Column, m: Column, other: Column, t: float) -> Column:
@@ -392,12 +394,21 @@ def _pairs(t: float, every: bool):
     return run
 
 
-def _meet(waiting: DataFrame, roots: DataFrame, t: float, block: int, every: bool) -> DataFrame:
+def _halved(parity: Column, n: Column) -> Column:
+    """The parity folded to a bit or more for each element, which tells strangers apart in half the room."""
+    half = (F.size(parity) / 2).cast("int")
+    folded = F.zip_with(F.slice(parity, F.lit(1), half), F.slice(parity, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    return F.when((half * 64 >= LEAST_BITS) & (half * 64 >= n), folded).otherwise(parity)
+
+
+def _meet(waiting: DataFrame, classes: DataFrame, roots: DataFrame, t: float, block: int, every: bool) -> DataFrame:
     """Pairs of the lists' members that are in different components by now, met in blocks."""
     side = F.broadcast if roots.count() <= graph.MOST_BROADCAST else lambda df: df
     rooted = waiting.join(side(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     blocks = F.ceil(F.col("again") / block).cast("long")
-    dealt = rooted.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cheap = classes.select("cls", _halved(F.col("parity"), F.col("n")).alias("parity"))
+    dealt = rooted.join(mixed, "key", "left_semi").join(cheap, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"), "parity")
     return dealt.repartition("key", "x", "y").mapInArrow(tidy(_pairs(t, every)), MET)
 
@@ -436,16 +447,18 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
     turn = F.col("cls") > F.col("head")
     tied = tied.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"), F.when(turn, F.col("head_n")).otherwise(F.col("n")).alias("n_a"), F.when(turn, F.col("n")).otherwise(F.col("head_n")).alias("n_b"))
     links = check.links(check.near(tied.distinct()))
-    waiting = store.keep(lists.where("again > 0").join(classes.select("cls", "parity"), "cls").select("key", "cls", "n", "pos", "again", "parity"), "waiting")
+    several = lists.where("again > 0")
+    one = several.groupBy("again", "of").agg(F.min("key").alias("key")).select("key")
+    waiting = store.keep(several.join(one, "key", "left_semi").select("key", "cls", "n", "pos", "again"), "waiting")
     store.remove(lists)
     tried, every, done = None, False, False
     while not done:
         roots = store.keep(graph.components(links, "a", "b"), "roots")
-        met = store.keep(_meet(waiting, roots, t, block, every), "met")
+        met = store.keep(_meet(waiting, classes, roots, t, block, every), "met")
         new = met.select("a", "b", "n_a", "n_b").distinct()
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
-        more = check.links(new)
+        more = check.links(check.near(new))
         links = links.unionByName(more)
         before, done = waiting, every
         if not done:  # lists without a pair now won't have one later
