@@ -35,8 +35,8 @@ class Encoder:
     Up to most_cached segments stay known from batch to batch, with their ids in flat arrays.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, most_cached: int = 400_000):
-        self.path = path
+    def __init__(self, path: str, ranks: str | None = None, most_cached: int = 200_000, chunk: int = 2 << 20):
+        self.path, self.chunk = path, chunk
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"].encode() for t in json.load(f).get("added_tokens", ())]
         self.ranked = self._by_ranks(ranks) if ranks else None
@@ -128,7 +128,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, ids in each text) of runs of texts; nulls are empty."""
-        for a, b, data, at in text_chunks(column, 8 << 20):
+        for a, b, data, at in text_chunks(column, self.chunk):
             body = data.tobytes()
             if any(s in body for s in self.special):
                 odd = [any(s in body[at[i] : at[i + 1]] for s in self.special) for i in range(b - a)]
