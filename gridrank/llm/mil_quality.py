@@ -12,8 +12,9 @@ The model is fitted on the driver on a bounded sample: of each label at most
 of their ids, up to `most_passages` passages of each, evenly spread. Scoring
 reads every passage of every text. Null and empty texts are one passage without
 words and get a score too. Repeated rows and null ids each get their row; an
-empty table gives an empty result, and a sample without both labels an error.
-Null labels are not used; of contradicting labels of a document the lower counts.
+empty table gives an empty result. Where the sample lacks a label, all scores
+are 0.5. Of labelled rows that repeat an id the first text
+in order is used. Null labels are not used; of contradicting labels of a document the lower counts.
 Labels, lang, source and ids are no inputs; only the named columns are read.
 """
 
@@ -78,6 +79,11 @@ class Model:
         draw = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
         self.p = {"W": draw(N_FEATURES, hidden) * 3, "b": np.zeros(hidden, np.float32), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate, 1), "c": draw(hidden, 1), "d": np.zeros(1, np.float32)}
 
+    def undecided(self) -> Model:
+        """The model that gives every bag 0.5: nothing was there to learn from."""
+        self.p["c"][:] = 0
+        return self
+
     def forward(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
         p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
@@ -133,11 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, *, most_docs: int = 1500, most_byt
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most_docs) for k in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most_docs rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).where(F.octet_length("body") <= most_bytes)
-    rows = texts.join(sample, "id").collect()
-    rows = sorted({(r["id"], r["label"], r["body"]) for r in rows})
+    # Of rows that repeat an id, the first text; so each label has most_docs rows at most.
+    rows = texts.join(sample, "id").groupBy("id", "label").agg(F.min("body").alias("body")).collect()
+    rows = sorted((r["id"], r["label"], r["body"]) for r in rows)
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y)) < 2:
-        raise ValueError("the labelled sample must hold documents of both labels")
+        return Model().undecided()
     bags = []
     for _, _, data, at in text_chunks(pa.array([r[2] for r in rows])):
         x, out = passages(data, at, words_each)

@@ -17,6 +17,7 @@ columns are read, so others may have any name.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,15 +47,20 @@ class Markov:
 
     def score(self, value: Column) -> Column:
         table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
-        symbol = lambda i: F.ascii(value.substr(i, F.lit(1))) - 33
-        steps = F.sequence(F.lit(1), F.length(value) - 1)
-        return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.element_at(table, symbol(i) * SYMBOLS + symbol(i + 1) + 1))
+        steps = _steps(value, lambda a, b: F.element_at(table, (F.ascii(a) - 33) * SYMBOLS + F.ascii(b) - 32))
+        return F.aggregate(steps, F.lit(0.0), lambda total, x: total + x)
+
+
+def _steps(value: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(a, b) of each two characters that follow one another, in time proportional to their number."""
+    each, n = F.split(value, ""), F.greatest(F.length(value) - 1, F.lit(0))
+    return F.zip_with(F.slice(each, F.lit(1), n), F.slice(each, F.lit(2), n), made)
 
 
 def train(samples: DataFrame, threshold: float = 15.0, least: int = 11, lean: float = 5.0) -> Markov:
     """From rows (value string, random boolean). Pairs are counted by Spark; at most 2 * 94 * 94 counts come to the driver."""
-    pairs = samples.where(F.length("value") > 1).select("random", "value", F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i"))
-    pairs = pairs.select("random", F.ascii(F.col("value").substr(F.col("i"), F.lit(1))).alias("a"), F.ascii(F.col("value").substr(F.col("i") + 1, F.lit(1))).alias("b"))
+    steps = _steps(F.col("value"), lambda a, b: F.struct(F.ascii(a).alias("a"), F.ascii(b).alias("b")))
+    pairs = samples.where(F.length("value") > 1).select("random", F.inline(steps))
     counts = {(r["random"], r["a"] - 33, r["b"] - 33): r["n"] for r in pairs.where("a between 33 and 126 and b between 33 and 126").groupBy("random", "a", "b").agg(F.count("*").alias("n")).collect()}
     ratios = []
     single = {kind: [1 + sum(counts.get((kind, a, b), 0) for a in range(SYMBOLS)) for b in range(SYMBOLS)] for kind in (False, True)}

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import zlib
 
+import re
+
 import numpy as np
 import pytest
 from common import awkward, frame, sentences
@@ -74,7 +76,34 @@ def test_awkward_rows(spark, trained):
     assert {100, 101, 102} <= {r.doc_id for r in kept.collect()}
 
 
-def test_one_label_is_an_error(spark):
+def test_without_both_labels_nothing_is_decided(spark):
     docs, labels, _ = labelled(spark, 5)
-    with pytest.raises(ValueError):
-        mil_quality.train(docs, labels.where("quality = 1"))
+    for given in (labels.where("quality = 1"), labels.limit(0)):
+        model = mil_quality.train(docs, given)
+        assert {r.score for r in mil_quality.score(docs, model).collect()} == {0.5}
+        assert mil_quality.accepted(docs, model).count() == docs.count()
+    assert mil_quality.score(docs, mil_quality.train(docs.limit(0), labels)).first().score == 0.5
+
+
+def test_scores_equal_a_plain_forward_pass(spark, trained):
+    """Attention by loops over passages of the words as Python splits them."""
+    model, p = trained[2], {k: v.astype(float) for k, v in trained[2].p.items()}
+    rows = [(i, t, s) for i, t, s in awkward() if i is not None]
+    expected = {}
+    for i, t, _ in rows:
+        found = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+        bags = [found[k : k + 64] for k in range(0, len(found), 64)] or [[]]
+        states, weights = [], []
+        for words in bags:
+            data = np.frombuffer(b" ".join(words), np.uint8)
+            x, at = mil_quality.passages(data, np.array([0, len(data)]), 64)
+            assert len(x) == 1
+            h = np.tanh(x[0] @ p["W"] + p["b"])
+            gate = np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))
+            states.append(h)
+            weights.append(float((gate @ p["w"])[0]))
+        share = np.exp(np.array(weights) - max(weights))
+        z = sum(a * h for a, h in zip(share / share.sum(), states, strict=True))
+        expected.setdefault(i, []).append(1 / (1 + np.exp(-float((z @ p["c"])[0] + p["d"][0]))))
+    for r in mil_quality.score(frame(spark, rows), model).collect():
+        assert any(r.score == pytest.approx(e, abs=1e-4) for e in expected[r.doc_id])

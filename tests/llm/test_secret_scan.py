@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from common import awkward, frame
@@ -92,3 +94,30 @@ def test_rest_of_a_run_is_a_candidate_of_its_own(spark, model):
 def test_short_random_runs_are_found(spark, model):
     rows = [(n, "see x7Kq9ZtB2mWv4RjL8nYc"[: 4 + n] + " and internation", "s") for n in range(11, 20)]
     assert {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, rows), model).collect()} == {n: f"markov:4:{4 + n}" for n in range(11, 20)}
+
+
+def scored(value, model):
+    return sum(float(f"{model.ratios[(ord(a) - 33) * 94 + ord(b) - 33]:.4f}") for a, b in zip(value, value[1:], strict=False))
+
+
+def test_markov_spans_equal_brute_force(spark, model):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(5, 30))) if rng.random() < 0.5 else "internationalisation"[: rng.randint(3, 20)] for _ in range(12)) for _ in range(60)]
+    rows = [(k, t, "s") for k, t in enumerate(texts + CASES)]
+    for r in secret_scan.scan(frame(spark, rows), model).collect():
+        text = rows[r.doc_id][1]
+        base = brute(text)
+        rest = list(text)
+        for a, _, b in base:
+            rest[a:b] = " " * (b - a)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=.-]{11,}", "".join(rest)) if scored(m[0], model) >= 15]
+        assert r.spans == ",".join(f"{(*KINDS, 'markov')[k]}:{a}:{b}" for a, k, b in sorted(base + more)) and r.n_markov == len(more)
+
+
+def test_a_very_long_run_takes_linear_time(spark, model):
+    rng = random.Random(5)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    began = time.time()
+    found = secret_scan.scan(frame(spark, [(1, f"a {run} b", "s")]), model).collect()
+    assert any(x.startswith("markov:") for x in found[0].spans.split(",")) and time.time() - began < 30
