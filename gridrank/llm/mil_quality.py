@@ -45,8 +45,6 @@ def passages(data: np.ndarray, at: np.ndarray, words_each: int) -> tuple[np.ndar
     out = np.concatenate([[0], np.cumsum(many)])
     total = int(out[-1])
     x = np.zeros((total, N_FEATURES), np.float32)
-    if not len(hashes):
-        return x, out
     doc = np.repeat(np.arange(len(n)), n)
     passage = out[doc] + (np.arange(len(hashes)) - of[doc]) // words_each
     sizes = ends - starts
