@@ -13,14 +13,16 @@ share j elements among the first n - ceil(t n) + j.
 
 The boundary is the size at which enumerating costs as much as scanning, by the
 histogram of sizes and the mean length of the lists, both counted over all rows.
+Both cost their postings, which are moved and sorted, and lists a scan as well.
 
 Equal sets are one class and are never paired. Each list first ties its members
 to its first one. Then members of a list that are still in different components
 meet, once for lists of the same members, in blocks of `block` members, so that no task gets a long list. In a round
 each component of a block proposes one pair, the one whose parities differ least,
 so a group of copies proposes no more pairs than it has members; when a round
-finds fewer than `few` links, the pairs that still cross components are tried,
-each once. Pairs are verified on whole sets. Bounds that never lose a link cut
+finds fewer than `few` links, the pairs that still cross components are tried.
+Each row then knows the keys of its other lists of more than `long` members, so
+that a pair that shares many of them comes from the first alone. Pairs are verified on whole sets. Bounds that never lose a link cut
 most pairs: sizes, what the rest of both sets after the shared element can add,
 and the parities of two hashed bits or more for each element, which differ in at
 most as many bits as the sets do in elements. Components don't need the links
@@ -48,6 +50,8 @@ from gridrank.llm.kernels import mix, shingles, text_chunks, tidy, words
 
 _U = np.uint64
 SLOTS = 1 << 22
+#: What it costs to compare with a member of a list, where a posting, which is moved and sorted, costs 1.
+SCAN = 1 / 8
 #: Fewest bits of a parity.
 LEAST_BITS = 256
 SIGNED = "id long, n long, cls long, parity array<long>, keys array<long>, subsets array<long>"
@@ -91,12 +95,12 @@ def _count(k: int):
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, t: float) -> int:
-    """The size up to which all sets together cost least: enumerating p (p + 1) / 2 subsets against scanning p lists."""
+    """The size up to which all sets together cost least: p (p + 1) / 2 subsets, each a posting, against p lists, each a posting and its other members, which cost SCAN of one."""
     best, cost = 0, 0.0
     change = 0.0
     for n in sorted(sizes):
         p = n - _least(n, t) + 1
-        change += sizes[n] * (p * (p + 1) / 2 - p * list_length)
+        change += sizes[n] * (p * (p + 1) / 2 - p * (1 + SCAN * (list_length - 1)))
         if change < cost:
             best, cost = n, change
     return best
@@ -310,17 +314,46 @@ def _once(found: list[pa.RecordBatch]) -> pa.RecordBatch:
     return table.take(pa.array(order[new])).combine_chunks().to_batches()[0]
 
 
+class _Earlier:
+    """Which rows of a task share a long list whose key is smaller than their own."""
+
+    def __init__(self, table: pa.Table, cols: dict[str, np.ndarray]):
+        self.cls = cols["cls"]
+        lists = table["lists"].chunks
+        self.keys = pa.concat_arrays([c.flatten() for c in lists]).to_numpy()
+        many = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]).astype(np.int64)
+        self.begin = np.cumsum(many) - many
+        # Keys are sorted within each row.
+        below = np.concatenate([[0], np.cumsum(self.keys < np.repeat(cols["key"], many))])
+        self.smaller = below[self.begin + many] - below[self.begin]
+        _, one = np.unique(self.cls, return_index=True)
+        within = np.repeat(self.begin[one] - (np.cumsum(many[one]) - many[one]), many[one]) + np.arange(many[one].sum())
+        self.held = np.sort(mix(np.repeat(self.cls[one], many[one]).view(_U) ^ mix(self.keys[within].view(_U))))
+
+    def share(self, a: np.ndarray, b: np.ndarray, step: int = 20_000) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k in range(0, len(a) if len(self.held) else 0, step):
+            x, y = a[k : k + step], b[k : k + step]
+            n = self.smaller[x]
+            pair = np.repeat(np.arange(len(x)), n)
+            keys = self.keys[np.repeat(self.begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            probe = mix(self.cls[y][pair].view(_U) ^ mix(keys.view(_U)))
+            out[k + pair[self.held[np.minimum(np.searchsorted(self.held, probe), len(self.held) - 1)] == probe]] = True
+        return out
+
+
 def _pairs(t: float, every: bool):
-    """Pairs of a block of lists whose members are in different components and pass the bounds: all of them, or of each component the one whose parities differ least for its size."""
+    """Pairs of a block of lists whose members are in different components and pass the bounds: all that share no long list of a smaller key, or of each component the one whose parities differ least for its size."""
     h = round(100 * t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "x", "y", "cls", "n", "pos", "root", "side")
-        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity"))}) for b in batches]
+        parts = [pa.table({c: b.column(i) for i, c in enumerate((*names, "parity", *["lists"] * every))}) for b in batches]
         if not parts:
             return
         table = pa.concat_tables(parts)
         cols = {c: table[c].to_numpy() for c in names}
+        earlier = _Earlier(table, cols) if every else None
         flat = pa.concat_arrays([c.flatten() for c in table["parity"].chunks]).to_numpy().view(_U)
         wide = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table["parity"].chunks]).astype(np.int64)
         place = np.cumsum(wide) - wide
@@ -370,8 +403,9 @@ def _pairs(t: float, every: bool):
                 differ[of] = np.bitwise_count(bits(i[of], z) ^ bits(j[of], z)).sum(1)
             ok = differ * (100 + h) <= (n[i] + n[j]) * (100 - h)
             i, j, differ = i[ok], j[ok], differ[ok]
-            if every and len(i):
-                found.append(met(i, j))
+            if every:
+                new = ~earlier.share(order[i], order[j])
+                found.append(met(i[new], j[new]))
                 if sum(map(len, found)) > 200_000:
                     yield _once(found)
                     found = []
@@ -381,7 +415,7 @@ def _pairs(t: float, every: bool):
                 for p, q in ((i, j), (j, i)):
                     closer = far < best[p]
                     best[p[closer]], other[p[closer]] = far[closer], q[closer]
-        if found:
+        if sum(map(len, found)):
             yield _once(found)
         rows = np.flatnonzero(other >= 0)
         rows = rows[np.lexsort((best[rows], root[rows], np.searchsorted(starts, rows, "right")))]
@@ -401,19 +435,24 @@ def _halved(parity: Column, n: Column) -> Column:
     return F.when((half * 64 >= LEAST_BITS) & (half * 64 >= n), folded).otherwise(parity)
 
 
-def _meet(waiting: DataFrame, classes: DataFrame, roots: DataFrame, t: float, block: int, every: bool) -> DataFrame:
+def _meet(waiting: DataFrame, classes: DataFrame, roots: DataFrame, t: float, block: int, long: int, every: bool) -> DataFrame:
     """Pairs of the lists' members that are in different components by now, met in blocks."""
     side = F.broadcast if roots.count() <= graph.MOST_BROADCAST else lambda df: df
     rooted = waiting.join(side(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     blocks = F.ceil(F.col("again") / block).cast("long")
     cheap = classes.select("cls", _halved(F.col("parity"), F.col("n")).alias("parity"))
-    dealt = rooted.join(mixed, "key", "left_semi").join(cheap, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"), "parity")
+    rooted = rooted.join(mixed, "key", "left_semi")
+    if every:
+        rooted = store.keep(rooted, "crossing")
+        longer = rooted.where(F.col("again") > long).groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
+        cheap = cheap.join(longer, "cls", "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<bigint>")))
+    dealt = rooted.join(cheap, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "n", "pos", "root", F.col("mine").alias("side"), "parity", *["lists"] * every)
     return dealt.repartition("key", "x", "y").mapInArrow(tidy(_pairs(t, every)), MET)
 
 
-def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, few: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1024, long: int = 32, few: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id, the smallest id that links reach, of each row."""
     spark, t = docs.sparkSession, threshold
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
@@ -454,7 +493,7 @@ def join(docs: DataFrame, *, k: int = 5, threshold: float = 0.75, block: int = 1
     tried, every, done = None, False, False
     while not done:
         roots = store.keep(graph.components(links, "a", "b"), "roots")
-        met = store.keep(_meet(waiting, classes, roots, t, block, every), "met")
+        met = store.keep(_meet(waiting, classes, roots, t, block, long, every), "met")
         new = met.select("a", "b", "n_a", "n_b").distinct()
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
