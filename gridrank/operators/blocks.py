@@ -122,7 +122,12 @@ def unpack(blocks: DataFrame, orientation: str = "csr") -> DataFrame:
 def vector_blocks(vector: DataFrame, width: int, n: int) -> DataFrame:
     """(start_row, data): dense blocks of `width` elements, absent ones 0, as many as hold 0..n-1."""
     spark = vector.sparkSession
-    starts = spark.range(-(-n // width)).select((F.col("id") * width).alias("start_row"))
-    own = vector.select((F.floor(F.col("i") / width) * width).alias("start_row"), F.struct((F.col("i") % width).cast("int").alias("p"), "x").alias("e")).groupBy("start_row").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
-    size = F.least(F.lit(width), n - F.col("start_row")).cast("int")
-    return starts.join(own, "start_row", "left").select("start_row", F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("data"))
+    # Absent elements of a block are 0, in time proportional to its width: every place gets one, and sums meet those that are there.
+    every = spark.range(n).select(start_of("id", width), (F.col("id") % width).cast("int").alias("p"), F.lit(0.0).alias("x"))
+    own = vector.select(start_of("i", width), (F.col("i") % width).cast("int").alias("p"), "x")
+    cells = every.unionByName(own).groupBy("start_row", "p").agg(F.sum("x").alias("x"))
+    return cells.groupBy("start_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("data"))
+
+
+def start_of(column: str, width: int) -> Column:
+    return (F.floor(F.col(column) / width) * width).alias("start_row")

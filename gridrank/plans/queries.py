@@ -86,15 +86,8 @@ def mm_read_full(spark, d):
     return matrix_market.read(spark, path).select(F.col("i").cast("int"), "j", "v")
 
 
-@query(w("SELECT CAST(dense_rank() OVER (ORDER BY i) - 1 AS BIGINT) AS node_index, i AS node FROM (SELECT i FROM nxt WHERE i % 3 = 0 AND j % 3 = 0 UNION SELECT j FROM nxt WHERE i % 3 = 0 AND j % 3 = 0)", "nxt"))
-def edgelist_compaction(spark, d):
-    edges = views.part_next(spark, d).where("i % 3 = 0 and j % 3 = 0")
-    _, ids = edge_list.compact(edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    return ids.select(F.col("k").alias("node_index"), "node")
-
-
 @query(w("SELECT CAST(dense_rank() OVER (ORDER BY i) - 1 AS BIGINT) AS node_index, i AS node FROM (SELECT 2 * i AS i FROM nxt UNION SELECT 2 * j FROM nxt)", "nxt"))
-def edgelist_compaction_whole(spark, d):
+def edgelist_compaction(spark, d):
     """All edges; doubled ids leave the gaps."""
     edges = views.part_next(spark, d)
     _, ids = edge_list.compact(edges.select((2 * F.col("i")).alias("src"), (2 * F.col("j")).alias("dst")))
@@ -312,13 +305,8 @@ def cross(spark, d):
     return joins.attach(m, stats.total(m, "v"))
 
 
-@query(w("SELECT i, j, v FROM t UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 25 FROM range(25) AS a(i), (SELECT j FROM range(25) AS r(j) WHERE j NOT IN (SELECT j FROM t)) m", "trade").replace("WITH ", "WITH ", 1).replace(" SELECT i, j, v FROM t UNION", ", t AS (SELECT * FROM trade WHERE j % 2 = 0) SELECT i, j, v FROM t UNION"))
-def cogroup_outer(spark, d):
-    return joins.fill_missing_columns(views.nation_trade(spark, d).where("j % 2 = 0"), 25)
-
-
 @query(w("SELECT i, 2 * j AS j, v FROM trade UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 50 FROM range(50) AS a(i), (SELECT j FROM range(50) AS r(j) WHERE j NOT IN (SELECT 2 * j FROM trade)) m", "trade"))
-def cogroup_outer_whole(spark, d):
+def cogroup_outer(spark, d):
     """All cells; doubled columns leave the empty ones."""
     return joins.fill_missing_columns(views.nation_trade(spark, d).withColumn("j", 2 * F.col("j")), 50)
 
@@ -634,14 +622,8 @@ def matmul(spark, d):
     return linalg.matmul(m, m)
 
 
-@query(w("SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM emb a JOIN (SELECT j AS i, i AS j, v FROM emb WHERE i < 10) b ON a.j = b.i GROUP BY a.i, b.j", "emb"))
-def matmul_dense(spark, d):
-    m = views.embeddings(spark, d)
-    return linalg.matmul(m, coo.transpose(m.where("i < 10"))).select("i", "j", F.round("v", 6).alias("v"))
-
-
 @query(w("SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM emb a JOIN emb b ON a.i = b.i GROUP BY a.j, b.j", "emb"))
-def matmul_dense_whole(spark, d):
+def matmul_dense(spark, d):
     """All embeddings: the dense product E'E of 64 x 64."""
     m = views.embeddings(spark, d)
     return linalg.matmul(coo.transpose(m), m).select("i", "j", F.round("v", 6).alias("v"))
@@ -752,11 +734,12 @@ def pagerank_block(spark, d):
     return _ranked(spark, d, alpha=0.8, b=4)
 
 
-@query(_pagerank_sql("sum(v)", 0.85).replace("FROM dag JOIN", "FROM dag JOIN"))
+@query(_pagerank_sql("count(*)", 0.85).replace("sum(dag.v / outs.s * pr.r)", "sum(1.0::DOUBLE / outs.s * pr.r)"))
 def pagerank_kv(spark, d):
     """Cells counted, not weighed: the weights are those of a pattern."""
     n = views.n_parts(spark, d)
-    ranks = pagerank(views.part_dag(spark, d), n, tolerance=None, most_rounds=ROUNDS).ranks
+    pattern = views.part_dag(spark, d).withColumn("v", F.lit(1.0))
+    ranks = pagerank(pattern, n, tolerance=None, most_rounds=ROUNDS, normalize="count").ranks
     return ranks.select("k", F.round(F.col("r") * n, 6).alias("rank"))
 
 
@@ -766,15 +749,8 @@ def pagerank_converged(spark, d):
     return pagerank(views.part_dag(spark, d), n, tolerance=1e-5, most_rounds=50).ranks.select("k", F.round(F.col("r") * n, 4).alias("rank"))
 
 
-@query(w("SELECT j AS i, i AS j, round(v / count(*) OVER (PARTITION BY i), 9) AS v FROM trade WHERE i % 2 = 0 UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 25 FROM range(25) AS a(i), (SELECT j FROM range(25) AS r(j) WHERE j NOT IN (SELECT i FROM trade WHERE i % 2 = 0)) m", "trade"))
-def normalize_export(spark, d):
-    path = session.new_path(spark, "normalized")
-    normalize.export(views.nation_trade(spark, d).where("i % 2 = 0"), 25, path)
-    return spark.read.csv(path, sep=" ", schema="i bigint, j bigint, v double").select("i", "j", F.round("v", 9).alias("v"))
-
-
 @query(w("SELECT j AS i, 2 * i AS j, round(v / count(*) OVER (PARTITION BY i), 9) AS v FROM trade UNION ALL SELECT CAST(a.i AS BIGINT), CAST(m.j AS BIGINT), 1.0 / 50 FROM range(50) AS a(i), (SELECT j FROM range(50) AS r(j) WHERE j NOT IN (SELECT 2 * i FROM trade)) m", "trade"))
-def normalize_export_whole(spark, d):
+def normalize_export(spark, d):
     """All rows; doubled ones leave the empty columns."""
     path = session.new_path(spark, "normalized")
     normalize.export(views.nation_trade(spark, d).withColumn("i", 2 * F.col("i")), 50, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,37 +15,65 @@ def _is_comment(line: Column) -> Column:
     return F.trim(line).startswith("%") | F.trim(line).startswith("//") | (F.trim(line) == "")
 
 
-def _header_file(spark: SparkSession, path: str) -> str:
-    """The file that begins with the banner; a matrix may be a folder of parts."""
-    found = spark.read.text(path).where(F.lower("value").startswith("%%matrixmarket")).select("_metadata.file_path").limit(2).collect()
-    if len(found) != 1:
-        raise ValueError(f"{path} has {'no' if not found else 'more than one'} Matrix Market banner")
-    return found[0][0]
+def _head(spark: SparkSession, file) -> Iterator[str]:
+    """Lines of a file from its beginning, through the file system that Spark has for its path; only what is asked for is read."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    stream = file.getFileSystem(conf).open(file)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        while (line := lines.readLine()) is not None:
+            yield line
+    finally:
+        stream.close()
+
+
+def _files(spark: SparkSession, path: str) -> list:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise ValueError(f"{path} has no files")
+    out = []
+    for status in found:
+        if status.isDirectory():
+            out += [s.getPath() for s in status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status.getPath()) if not s.isDirectory() and s.getPath().getName()[0] not in "_."]
+        else:
+            out.append(status.getPath())
+    return out
 
 
 def _numbered(spark: SparkSession, file: str) -> DataFrame:
-    return spark.read.text(file).select("value", F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(file).select("value", F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def header(spark: SparkSession, path: str) -> MatrixInfo:
-    """What the banner and the size line say; nothing after them is parsed."""
+    """What the banner and the size line say; nothing after them is read."""
     return _header(spark, path)[0]
 
 
 def _header(spark: SparkSession, path: str) -> tuple[MatrixInfo, str, int]:
-    file = _header_file(spark, path)
-    lines = _numbered(spark, file)
-    banner = lines.where(F.lower("value").startswith("%%matrixmarket")).first()["value"].lower().split()
+    """The matrix, the file that begins with the banner (a matrix may be a folder of parts) and the place of the size line in it."""
+    banners = []
+    for file in _files(spark, path):
+        first = next(_head(spark, file), "")
+        if first.lower().startswith("%%matrixmarket"):
+            banners.append((file, first.lower().split()))
+    if len(banners) != 1:
+        raise ValueError(f"{path} has {'no' if not banners else 'more than one'} Matrix Market banner")
+    file, banner = banners[0]
     if len(banner) != 5 or banner[1] != "matrix" or banner[2] not in LAYOUTS or banner[3] not in FIELDS or banner[4] not in SYMMETRIES:
         raise ValueError(f"not a Matrix Market banner: {' '.join(banner)}")
-    at = lines.where(~_is_comment(F.col("value"))).agg(F.min_by("value", "line"), F.min("line")).first()
-    if at[0] is None:
+    for at, line in enumerate(_head(spark, file)):
+        if line.strip() and not line.strip().startswith(("%", "//")):
+            break
+    else:
         raise ValueError(f"{path} has no size line")
-    size = [int(x) for x in at[0].split()]
+    size = [int(x) for x in line.split()]
     if len(size) != (3 if banner[2] == "coordinate" else 2):
-        raise ValueError(f"not a size line: {at[0]}")
+        raise ValueError(f"not a size line: {line}")
     n, m, nnz = size if len(size) == 3 else (*size, size[0] * size[1])
-    return MatrixInfo(banner[2], banner[3], banner[4], n, m, nnz), file, at[1]
+    return MatrixInfo(banner[2], banner[3], banner[4], n, m, nnz), file.toString(), at
 
 
 def read(spark: SparkSession, path: str, *, values: str = "real", offset: int = -1, transpose: bool = False, expand: bool = True) -> DataFrame:
@@ -56,16 +86,19 @@ def read(spark: SparkSession, path: str, *, values: str = "real", offset: int =
     if info.field == "complex" or info.symmetry == "hermitian":
         raise ValueError("complex matrices are not supported")
     # The line numbers are those of the file alone; the other parts need none.
-    lines = _numbered(spark, file).where(F.col("line") != size_line).select("value", "line")
-    parts = spark.read.text(path).where(F.col("_metadata.file_path") != file).select("value", F.lit(None).cast("bigint").alias("line"))
+    # The file's first block begins a partition, so there the lower bits count lines.
+    head = (F.col("block") == 0) & (F.col("line").bitwiseAND((1 << 33) - 1) == size_line)
+    lines = _numbered(spark, file).where(~head).select("value", "line")
+    parts = spark.read.text(path).where(F.element_at(F.split("_metadata.file_path", "/"), -1) != file.rsplit("/", 1)[-1]).select("value", F.lit(None).cast("bigint").alias("line"))
     rows = lines.unionByName(parts).where(~_is_comment(F.col("value")))
     token = F.split(F.trim("value"), r"\s+")
     if info.layout == "array":
         return _array(rows, info, token, transpose, expand)
     value = F.lit(1.0) if values == "pattern" or info.field == "pattern" else token[2].cast("double")
     entries = rows.select((token[0].cast("bigint") + offset).alias("i"), (token[1].cast("bigint") + offset).alias("j"), value.alias("v"))
-    limit = max(info.n, info.m) + offset
-    entries = entries.select(F.when((F.col("i") <= limit) & (F.col("j") <= limit), F.col("i")).otherwise(F.raise_error(F.lit("index beyond the matrix")).cast("bigint")).alias("i"), "j", "v")
+    # Indices of files begin at 1.
+    inside = F.col("i").between(1 + offset, info.n + offset) & F.col("j").between(1 + offset, info.m + offset)
+    entries = entries.select(F.when(inside, F.col("i")).otherwise(F.raise_error(F.lit("index beyond the matrix")).cast("bigint")).alias("i"), "j", "v")
     if expand:
         entries = coo.symmetrize(entries, info.symmetry)
     return coo.transpose(entries) if transpose else entries
@@ -84,10 +117,14 @@ def _array(rows: DataFrame, info: MatrixInfo, token: Column, transpose: bool, ex
     if info.symmetry == "general":
         found = placed.select((F.col("pos") % n).alias("i"), F.floor(F.col("pos") / n).alias("j"), "v")
     else:
+        # Column j of the lower triangle begins at j (2 h - j + 1) / 2, where h rows are stored of the first one; roots of doubles are put right by one column.
         shift = 1 if info.symmetry == "skew-symmetric" else 0
-        starts = [(j, sum(n - c - shift for c in range(j))) for j in range(n)]
-        columns = F.broadcast(rows.sparkSession.createDataFrame([(j, s, s + n - j - shift) for j, s in starts if n - j - shift > 0], "j bigint, s bigint, e bigint"))
-        found = placed.join(columns, (F.col("pos") >= F.col("s")) & (F.col("pos") < F.col("e"))).select((F.col("pos") - F.col("s") + F.col("j") + shift).alias("i"), "j", "v")
+        h = n - shift
+        begin = lambda j: (j * (2 * h + 1 - j) / 2).cast("bigint")
+        near = F.floor((2 * h + 1 - F.sqrt(F.lit(float((2 * h + 1) ** 2)) - 8.0 * F.col("pos"))) / 2)
+        column = F.when(begin(near) > F.col("pos"), near - 1).when(begin(near + 1) <= F.col("pos"), near + 1).otherwise(near)
+        found = placed.withColumn("j", column.cast("bigint"))
+        found = found.select((F.col("pos") - begin(F.col("j")) + F.col("j") + shift).alias("i"), "j", "v")
         if expand:
             found = coo.symmetrize(found, info.symmetry)
     found = found.where("v <> 0")

@@ -135,7 +135,7 @@ def test_small_dense_blocks(spark):
 
 def test_block_keys_and_sizes(spark):
     grid = blocks.Grid(8, 5, 3)
-    keys = spark.range(8).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint").alias("j")).select("i", "j", grid.key().alias("key"))
+    keys = spark.range(8).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select("i", F.col("j").cast("bigint").alias("j"), grid.key().alias("key"))
     found = {(r.i, r.j): r.key for r in keys.collect()}
     rows = {0: [0, 0, 1, 1, 2], 3: [3, 3, 4, 4, 5], 6: [6, 6, 7, 7, 8]}
     assert all(found[i, j] == rows[i // 3 * 3][j] for i in range(8) for j in range(5))
@@ -221,3 +221,33 @@ def test_rcm_never_stops_short_without_an_error(spark):
     assert reorder.reverse_cuthill_mckee(path, 3).count() == 3
     with pytest.raises(RuntimeError):
         reorder.reverse_cuthill_mckee(path, 3, most_levels=1)
+
+
+def test_entry_module_without_the_text_operators(spark, monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("gridrank.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "gridrank.llm", None)
+    monkeypatch.delattr("gridrank.llm", raising=False)
+    assert e.queries().keys() == e.core.QUERIES.keys() and e.oracle_sql().keys() == e.core.ORACLE_SQL.keys()
+
+
+@pytest.mark.parametrize("entry", ["4 1 1", "0 2 1", "1 6 1", "1 0 1"])
+def test_entries_outside_the_matrix_fail(spark, tmp_path, entry):
+    path = tmp_path / "wide.mtx"
+    path.write_text(f"%%MatrixMarket matrix coordinate real general\n% wide\n3 5 1\n{entry}\n")
+    with pytest.raises(Exception, match="beyond"):
+        matrix_market.read(spark, f"file://{path}").collect()
+
+
+@pytest.mark.parametrize("kind", ["symmetric", "skew-symmetric"])
+def test_packed_triangles(spark, tmp_path, kind):
+    n, shift = 40, int(kind == "skew-symmetric")
+    cells = [(i, j) for j in range(n) for i in range(j + shift, n)]
+    path = tmp_path / "packed.mtx"
+    path.write_text(f"%%MatrixMarket matrix array real {kind}\n{n} {n}\n" + "\n".join(str(k + 1) for k in range(len(cells))) + "\n")
+    found = {(r.i, r.j): r.v for r in matrix_market.read(spark, f"file://{path}", expand=False).collect()}
+    assert found == {c: k + 1 for k, c in enumerate(cells)}
