@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where none is named, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where none is named, as in tests, a local one is set if all executors are on this machine; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridrank-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

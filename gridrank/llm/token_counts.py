@@ -51,7 +51,7 @@ def _encode(path: str, ranks: str | None, version: str):
 def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cache: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of each row. `cache` is a folder of Parquet files that grows; without one, a new one in the shared folder."""
     spark = docs.sparkSession
-    version = version_digest(tokenizer)
+    version = version_digest(*[tokenizer, ranks][: 2 if ranks else 1])
     cache = cache or store.new_path(spark, "token_counts")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     keyed = rows.select("id", F.unhex(F.sha2("body", 256)).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
