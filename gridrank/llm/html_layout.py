@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript noframes datalist object iframe audio video canvas svg math".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table textarea ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table textarea ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: A start tag ends these, up to the elements that hold them.
@@ -184,9 +184,32 @@ class Lines:
         return "\n".join(self.done).strip("\n")
 
 
-def _span(node: Node) -> int:
-    value = (node.attrs.get("colspan") or "1").strip()
-    return min(1000, max(1, int(value))) if value.isdigit() else 1
+def _span(node: Node, name: str = "colspan", most: int = 1000) -> int:
+    value = (node.attrs.get(name) or "1").strip()
+    if not re.fullmatch(r"[0-9]{1,9}", value):
+        return 1
+    if name == "rowspan" and not int(value):  # to the end of the table
+        return most
+    return min(most, max(1, int(value)))
+
+
+def _spread(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Rows of (text, columns, rows) as rows of (text, columns), with an empty cell wherever one from above reaches down."""
+    held: dict[int, int] = {}
+    out = []
+    for row in rows:
+        at, cells, begun = 0, [], {}
+        for text, span, down in row:
+            while at in held:
+                cells.append(("", 1))
+                at += 1
+            cells.append((text, span))
+            if down > 1:
+                begun |= dict.fromkeys(range(at, at + span), down)
+            at += span
+        held = {c: n - 1 for c, n in (held | begun).items() if n > 1}
+        out.append(cells)
+    return out
 
 
 def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
@@ -226,7 +249,7 @@ def render(html: str | None) -> str | None:
     builder.close()
     # Steps are taken from a stack: a node to open, or a call for its end.
     out = [Lines()]
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
     lists: list[list] = []
     pre = [False]
     todo: list = [(builder.root, True)]
@@ -267,7 +290,8 @@ def render(html: str | None) -> str | None:
             tables.append([])
 
             def close_table(lines=lines):
-                for line in _aligned(tables.pop()):
+                lines.end()  # what a caption or text straight within the table left open
+                for line in _aligned(_spread(tables.pop())):
                     lines.now.append(line)
                     lines.end(keep=True)
                 lines.end(blank=True)
@@ -279,7 +303,7 @@ def render(html: str | None) -> str | None:
             out.append(Lines())
 
             def close_cell(node=node):
-                tables[-1][-1].append((out.pop().text(), _span(node)))
+                tables[-1][-1].append((out.pop().text(), _span(node), _span(node, "rowspan", 65_534)))
 
             after.append(close_cell)
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -329,8 +353,13 @@ def render(html: str | None) -> str | None:
                     lines.end(blank=tag in SPACED)
 
             after.append(close_block)
+        children = node.children
+        if tag in ("pre", "textarea") and children and isinstance(children[0], str):  # a line end right after the tag is not shown
+            children = [re.sub(r"^(\r\n|\n|\r)", "", children[0]), *children[1:]]
+        elif tag == "details" and "open" not in node.attrs:  # only the first summary is shown
+            children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         todo += reversed(after)
-        todo += [(child, visible) for child in reversed(node.children)]
+        todo += [(child, visible) for child in reversed(children)]
     return out[0].text()
 
 

