@@ -1,16 +1,24 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits the vectors again and again: a node projects them on a random
-direction and parts them at the median; those near it go to both sides. How near
-is the same everywhere: a pair that may link differs by at most
+Every tree splits the vectors again and again: a node projects them on a few
+random directions and parts them at the cut, of some between the quartiles,
+around which the fewest lie; those near it go to both sides. How near a pair
+that may link can be is the same everywhere: it differs by at most
 sqrt(2 - 2 least) in length, so by that divided by the root of the dimension in
-a random direction, as a deviation; `margin` such deviations are shared, and a
-split parts few links. A node of which more than `most_shared` would be shared,
-such as a tight group, isn't split. Vectors that meet in a leaf of some tree and
-have equal labels are compared by cosine in double precision. Splits are fitted
-on at most `most_sample` vectors, the first by a hash of their ids; a node with
-too few of them takes its parent's. Every vector is indexed, and the depth
-follows their number.
+a random direction, as a deviation. Up to `margin` such deviations are shared,
+but no more vectors than a node's part of `spill`: all the splits above a leaf
+share out one budget, so that a tree holds at most about e^spill copies of a
+vector whatever the depth. A node is split until its leaves hold `leaf` vectors;
+one of which more than `most_shared` lie around every cut, such as a tight
+group, isn't split. The fitted splits tell how many pairs at the threshold a
+tree parts; there are as many trees as it takes to part no more than
+1 - `recall` of them in every tree, `trees` at least.
+
+Splits are fitted on at most `most_sample` vectors, the first by a hash of their
+ids; a node with too few of them takes its parent's. A tree has at most
+MOST_NODES nodes, whatever the number of vectors: leaves beyond that are larger.
+Every vector is indexed. Vectors that meet in a leaf of some tree and have equal
+labels are compared by cosine in double precision.
 
 Equal vectors of a label are one class, compared once and counted as many. A
 leaf with more than `block` members of a label is compared in blocks, all pairs
@@ -40,62 +48,109 @@ from gridrank.llm import graph, store
 MOST_BROADCAST = 200_000
 #: Directions that nodes draw from.
 POOL = 1024
+#: Nodes of a tree and trees at most: with 20 bytes a node, what goes to every executor stays below 340 MB.
+MOST_NODES, MOST_TREES = 2**18, 64
+#: Where a node's vectors may be cut, as shares of them, and the directions it tries.
+CUTS, TRIES = np.linspace(0.25, 0.75, 11), 3
 
 
 @dataclass
-class Forest:
-    """Heap-ordered trees: node i has children 2 i + 1 and 2 i + 2. A node that isn't split is a leaf."""
+class Tree:
+    """Nodes from the root on; the children of one are neighbours, and a leaf has none (-1)."""
 
-    pool: np.ndarray
-    levels: int
-    low: np.ndarray  # tree, node: what lies below goes left only; infinite where a node isn't split
+    direction: np.ndarray
+    low: np.ndarray  # what lies below goes left only
     high: np.ndarray  # what lies above goes right only
+    child: np.ndarray  # the left one
+    kept: float  # the share of pairs at the threshold that no split parts
 
-    def direction(self, tree: int, node: np.ndarray) -> np.ndarray:
-        return (node * 2_654_435_761 + tree * 40_503 + 17) % 4_294_967_296 % POOL
+
+@dataclass
+class Forest:
+    pool: np.ndarray
+    trees: list[Tree]
 
     def leaves(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each tree, rows and the leaves they are in; a leaf's number names its tree too."""
         out = []
-        for t in range(len(self.low)):
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            done = [(row[:0], node[:0])]
-            for _ in range(self.levels):
-                leaf = np.isinf(self.low[t, node])
+        for t, tree in enumerate(self.trees):
+            row, node, done = np.arange(len(x)), np.zeros(len(x), np.int64), []
+            while len(row):
+                leaf = tree.child[node] < 0
                 done.append((row[leaf], node[leaf]))
                 row, node = row[~leaf], node[~leaf]
-                p = np.einsum("ij,ij->i", x[row], self.pool[self.direction(t, node)])
-                left, right = p <= self.high[t, node], p > self.low[t, node]
-                row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-            done.append((row, node))
-            rows, nodes = (np.concatenate([d[k] for d in done]) for k in (0, 1))
-            out.append((rows, nodes + t * 2 ** (self.levels + 1)))
+                p = np.einsum("ij,ij->i", x[row], self.pool[tree.direction[node]])
+                left, right = p <= tree.high[node], p > tree.low[node]
+                row, node = np.concatenate([row[left], row[right]]), np.concatenate([tree.child[node[left]], tree.child[node[right]] + 1]).astype(np.int64)
+            rows, nodes = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
+            out.append((rows, nodes + t * MOST_NODES))
         return out
 
 
-def fit(sample: np.ndarray, n: int, *, trees: int, leaf: int, width: float, most_shared: float, least: int = 64, seed: int = 11) -> Forest:
-    """sample: unit vectors, of n that will be indexed; width: of the shared part around a median."""
-    levels = max(1, math.ceil(math.log2(max(n, 1) / leaf))) if n > leaf else 1
+#: The normal distribution function at steps of 1 / 64 from -4 on.
+_NORMAL = np.array([math.erfc(-k / 64 / math.sqrt(2)) / 2 for k in range(-256, 257)])
+
+
+def _below(z: np.ndarray) -> np.ndarray:
+    return _NORMAL[np.clip(np.rint(z * 64), -256, 256).astype(np.int64) + 256]
+
+
+def _cut(p: np.ndarray, wide: float) -> tuple[float, float, float, float]:
+    """Where to part sorted projections: the cut with the least share within `wide` on both sides, for each bit that it tells; that cut, its share and bits, the score."""
+    at = p[(CUTS * (len(p) - 1)).astype(np.int64)]
+    share = (np.searchsorted(p, at + wide, "right") - np.searchsorted(p, at - wide, "left")) / len(p)
+    bits = -CUTS * np.log2(CUTS) - (1 - CUTS) * np.log2(1 - CUTS)
+    k = int(np.argmin(share / bits))
+    return float(at[k]), float(share[k]), float(bits[k]), float(share[k] / bits[k])
+
+
+def _grow(sample: np.ndarray, pool: np.ndarray, rng: np.random.Generator, *, n: int, leaf: int, deviation: float, margin: float, spill: float, most_shared: float, least: int) -> Tree:
+    direction, low, high, child = [0], [0.0], [0.0], [-1]
+    budget = spill / max(1.0, math.log2(max(n, 1) / leaf))
+    parted: dict[int, list[float]] = {}
+    front = [(0, np.arange(len(sample)), float(n), 0)]
+    # Level by level, so that the bound on nodes, if it is met, leaves all leaves about as large.
+    for node, own, many, depth in front:
+        if many <= leaf or not len(own) or len(child) + 2 > MOST_NODES:
+            continue
+        tried = []
+        for d in rng.integers(0, POOL, TRIES):
+            p = sample[own] @ pool[d]
+            tried.append((*_cut(np.sort(p), margin * deviation / 2), int(d), p))
+        cut, share, bits, _, d, p = min(tried, key=lambda c: c[3])
+        near = np.abs(p - cut)
+        half = min(margin * deviation / 2, float(np.quantile(near, min(1.0, budget * bits))))
+        left, right = p <= cut + half, p > cut - half
+        # Children as large as their parent would go on for ever.
+        if share > most_shared or left.all() or right.all():
+            continue
+        apart = np.where(p <= cut - half, 1 - _below((cut + half - p) / deviation), 0.0) + np.where(p > cut + half, _below((cut - half - p) / deviation), 0.0)
+        level = parted.setdefault(depth, [0.0, 0.0])
+        level[0] += many * float(apart.mean())
+        direction[node], low[node], high[node], child[node] = d, cut - half, cut + half, len(child)
+        for side in (left, right):
+            front.append((len(child), own[side] if side.sum() >= least else own, many * float(side.mean()), depth + 1))
+            direction.append(0)
+            low.append(0.0)
+            high.append(0.0)
+            child.append(-1)
+        level[1] += many
+    # A level's share is of the copies that reach it; what became a leaf above is parted no more.
+    kept, whole = 1.0, float(n)
+    for bad, at in parted.values():
+        kept *= 1 - bad / max(at, whole)
+    return Tree(np.array(direction, np.int32), np.array(low), np.array(high), np.array(child, np.int32), kept)
+
+
+def fit(sample: np.ndarray, n: int, *, deviation: float, trees: int, leaf: int, margin: float, spill: float, most_shared: float, recall: float, least: int = 64, seed: int = 11) -> Forest:
+    """sample: unit vectors, of n that will be indexed; deviation: of the difference of a pair at the threshold in a random direction."""
     rng = np.random.default_rng(seed)
     pool = rng.standard_normal((POOL, sample.shape[1]))
     pool /= np.linalg.norm(pool, axis=1, keepdims=True)
-    inner = 2**levels - 1
-    forest = Forest(pool, levels, np.full((trees, inner), np.inf), np.full((trees, inner), np.inf))
-    for t in range(trees):
-        members = {0: np.arange(len(sample))}
-        for i in range(inner):
-            own = members.pop(i, None)
-            if own is None or not len(own):
-                continue
-            p = sample[own] @ pool[forest.direction(t, np.array([i]))[0]]
-            middle = np.median(p)
-            if (np.abs(p - middle) <= width / 2).mean() > most_shared:
-                continue
-            forest.low[t, i], forest.high[t, i] = middle - width / 2, middle + width / 2
-            if 2 * i + 2 < inner:
-                left, right = own[p <= forest.high[t, i]], own[p > forest.low[t, i]]
-                members[2 * i + 1], members[2 * i + 2] = (left if len(left) >= least else own), (right if len(right) >= least else own)
-    return forest
+    out: list[Tree] = []
+    while len(out) < trees or (len(out) < MOST_TREES and math.prod(1 - t.kept for t in out) > 1 - recall):
+        out.append(_grow(sample, pool, rng, n=n, leaf=leaf, deviation=deviation, margin=margin, spill=spill, most_shared=most_shared, least=least))
+    return Forest(pool, out)
 
 
 def _matrix(vectors: pa.Array, width: int | None = None) -> np.ndarray:
@@ -188,7 +243,7 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4, leaf: int = 2048, block: int = 1024, margin: float = 2.5, most_shared: float = 0.5, most_sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4, leaf: int = 2048, block: int = 1024, margin: float = 4.0, spill: float = 0.8, most_shared: float = 0.6, recall: float = 0.99, most_sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept of each row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
@@ -199,8 +254,8 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, trees: int = 4,
     n, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     sample = classes.select("cls", "vector").orderBy(F.xxhash64("cls")).limit(most_sample).select("vector").toArrow() if n else None
     x = _unit(_matrix(sample["vector"], width)) if n else np.zeros((0, 1))
-    shared = margin * math.sqrt(max(0.0, 2 - 2 * least) / max(width or 1, 1))
-    forest = spark.sparkContext.broadcast(fit(x, n, trees=trees, leaf=leaf, width=shared, most_shared=most_shared))
+    deviation = math.sqrt(max(0.0, 2 - 2 * least) / max(width or 1, 1)) or 1e-12
+    forest = spark.sparkContext.broadcast(fit(x, n, deviation=deviation, trees=trees, leaf=leaf, margin=margin, spill=spill, most_shared=most_shared, recall=recall))
     plain = classes.select("cls", "size", "vector", "label")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", leaves array<long>"
     placed = store.keep(plain.mapInArrow(_assign(forest, width or 1), schema).withColumn("leaf", F.explode("leaves")), "leaves")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -71,3 +72,36 @@ def test_awkward_vectors(spark):
 
 def test_empty_table(spark):
     assert embed_forest.near_duplicates(table(spark, made(n=3)).where("false")).count() == 0
+
+
+def near_pairs(n, d=64, least=0.93, many=2000, seed=3):
+    """Random unit vectors, and partners of the first `many` at the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, r = x[:many], rng.standard_normal((many, d))
+    r -= (r * a).sum(1, keepdims=True) * a
+    return x, least * a + math.sqrt(1 - least**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def test_leaves_copies_and_recall_hold_as_tables_grow():
+    given = {k: p.default for k, p in inspect.signature(embed_forest.near_duplicates).parameters.items()}
+    options = {k: given[k] for k in ("trees", "leaf", "margin", "spill", "most_shared", "recall")}
+    for n in (20_000, 160_000):
+        x, y = near_pairs(n)
+        forest = embed_forest.fit(x[-given["most_sample"] :], n, deviation=math.sqrt((2 - 2 * 0.93) / 64), **options)
+        found, met = forest.leaves(x), np.zeros(len(y), bool)
+        for (row, leaf), (mine, own) in zip(found, forest.leaves(y)):
+            first = row < len(y)
+            met[mine[np.isin(mine * 2**40 + own, row[first] * 2**40 + leaf[first])]] = True
+        assert met.mean() >= 0.97
+        assert sum(len(row) for row, _ in found) <= 16 * n
+        assert max(np.unique(leaf, return_counts=True)[1].max() for _, leaf in found) <= 2 * given["leaf"]
+
+
+def test_recall_with_small_leaves_and_groups(spark):
+    rows = made(seed=9, n=3000, groups=40)
+    found = embed_forest.near_duplicates(table(spark, rows), least=0.93, leaf=128).collect()
+    want = {i: many for i, many, _ in brute(rows, 0.93)}
+    assert sum(r.n_links for r in found) >= 0.9 * sum(want.values())
+    assert all(r.n_links <= want[r.vec_id] for r in found)
