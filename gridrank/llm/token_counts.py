@@ -4,7 +4,9 @@ Each text is keyed by the SHA-256 of its normalised content (a null is the empty
 text; nothing else is changed, as any change could change the count) and by a
 digest of the tokenizer's files. Keys are joined to the stored counts, one text
 of every missing key is encoded, the new counts are appended to the cache, and
-every row takes its count from there.
+every row takes its count from there. Keys that more than one row of HOT has are
+fewer than HOT, so their counts go to every executor; their rows are spread
+over the tasks in which the others meet the cache.
 
 Nulls and empty texts count no tokens; texts of any length are encoded whole.
 Repeated rows are encoded once and each gets its row; ids may be null or repeat.
@@ -24,6 +26,8 @@ from gridrank.llm import store
 from gridrank.llm.bpe import encoder
 from gridrank.llm.kernels import tidy
 
+#: A key is hot if it has more than this part of the rows; so many keys at most can be.
+HOT = 1000
 CACHE = "version string, digest binary, n_tokens long"
 
 
@@ -55,13 +59,23 @@ def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     cache = cache or store.new_path(spark, "token_counts")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     keyed = rows.select("id", F.unhex(F.sha2("body", 256)).alias("digest"), F.octet_length("body").cast("long").alias("n_bytes"))
-    seen = keyed.groupBy("digest").agg(F.min("id").alias("id"))
+    seen = store.keep(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "digests")
+    n = seen.agg(F.sum("copies")).first()[0] or 0
+    wanted = seen
     if store.exists(spark, cache):
         stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-        seen = seen.join(stored, "digest", "left_anti")
-    # One row for each key: the ids are few bytes, so each task can hash its share while the texts stream past.
-    wanted = seen.select(F.col("id").alias("wanted")).distinct().hint("shuffle_hash")
-    missing = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("body")
+        wanted = wanted.join(stored, "digest", "left_anti")
+    # One row for each key, found by id and digest so that rows without an id spread too: the keys are few bytes, so each task can hash its share while the texts stream past.
+    wanted = wanted.select(F.col("id").alias("wanted"), F.col("digest").alias("of")).hint("shuffle_hash")
+    texts = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    missing = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("digest") == F.col("of")), "left_semi").select("body")
     missing.mapInArrow(tidy(_encode(tokenizer, ranks, version)), CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    hot = seen.where(F.col("copies") * HOT > n).select(F.col("digest").alias("of"))
+    known = store.keep(stored.join(F.broadcast(hot), F.col("digest") == F.col("of"), "left_semi").select(F.col("digest").alias("of"), F.col("n_tokens").alias("known")), "hot")
+    store.remove(seen)
+    # Rows whose count is known get keys that no text has: a digest, and more bytes.
+    spread = F.concat("digest", F.unhex(F.hex(F.xxhash64("id", F.spark_partition_id()))))
+    split = keyed.join(F.broadcast(known), F.col("digest") == F.col("of"), "left").withColumn("key", F.when(F.col("known").isNull(), F.col("digest")).otherwise(spread))
+    counted = split.join(stored.withColumnRenamed("digest", "key"), "key", "left").withColumn("n_tokens", F.coalesce("known", "n_tokens"))
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -55,6 +55,12 @@ def test_cache_takes_only_what_it_lacks(spark):
     assert sum(r.n_tokens for r in token_counts(frame(spark, rows), PATH, RANKS, cache).collect()) == sum(len(ids(t)) for _, t, _ in rows)
 
 
+def test_hot_and_rare_digests_count_alike(spark):
+    rows = [(k, f"word {k} of many", "x") for k in range(3000)] + [(None, "no id", "x")] * 800 + [(7, "one id", "x")] * 700 + [(5000 + k, None, "x") for k in range(900)]
+    found = token_counts(frame(spark, rows), PATH, RANKS).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.n_tokens) for r in found) == sorted(((i is None, i or 0), len((t or "").encode()), len(ids(t))) for i, t, _ in rows)
+
+
 def check_pieces(found, rows, window=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in found:
