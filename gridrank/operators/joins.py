@@ -58,9 +58,8 @@ def rank_products(ranks: DataFrame, matrix: DataFrame) -> DataFrame:
     return matrix.join(ranks, F.col("j") == F.col("k")).select("i", (F.col("v") * F.col("r")).alias("product"))
 
 
-def with_all(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """Every row with the whole of a small keyed table as a map, checked for size."""
-    key, value = values.columns
-    bounded = values.limit(MOST_BROADCAST + 1)
-    packed = bounded.agg(F.when(F.count("*") > MOST_BROADCAST, F.raise_error(F.lit("too many rows to send to every executor")).cast(f"map<{values.schema[key].dataType.simpleString()},{values.schema[value].dataType.simpleString()}>")).otherwise(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("all_values"))
-    return attach(rows, packed)
+def with_value(rows: DataFrame, values: DataFrame, on: str) -> DataFrame:
+    """Every row with the values of its key (null where there is none), which go to every executor if a count shows that they are few."""
+    key, *_ = values.columns
+    keyed = values.withColumnRenamed(key, "value_key")
+    return rows.join(sized(keyed), F.col(on) == F.col("value_key"), "left").drop("value_key")

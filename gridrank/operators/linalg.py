@@ -23,12 +23,12 @@ def spmv_broadcast(matrix: DataFrame, vector: DataFrame, alpha: float = 1.0) ->
 
 
 def spmv_cross(matrix: DataFrame, vector: DataFrame, n: int) -> DataFrame:
-    """The same with the whole vector as one array beside every cell; the array's size is checked."""
+    """The same with the whole vector as one dense array beside every cell, read by position; beyond a million elements it is joined instead."""
     if n > joins.MOST_BROADCAST:
-        raise ValueError("the vector is too large to send to every executor")
-    whole = vector.agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("all_x"))
+        return spmv(matrix, vector)
+    whole = blocks.vector_blocks(vector, n, n).select(F.col("data").alias("all_x"))
     attached = joins.attach(matrix, whole)
-    return attached.select("i", (F.col("v") * F.coalesce(F.element_at("all_x", F.col("j")), F.lit(0.0))).alias("product")).groupBy("i").agg(F.sum("product").alias("x"))
+    return attached.select("i", (F.col("v") * F.get("all_x", F.col("j").cast("int"))).alias("product")).groupBy("i").agg(F.sum("product").alias("x"))
 
 
 def _multiply(table: pa.Table) -> pa.Table:

@@ -316,10 +316,10 @@ def cogroup_rank(spark, d):
     return joins.rank_products(views.part_sizes(spark, d).select(F.col("i").alias("k"), F.col("x").alias("r")), views.part_dag(spark, d))
 
 
-@query(w("SELECT t.i, t.j, t.v / s.total AS share FROM trade t JOIN (SELECT i, sum(v) AS total FROM trade GROUP BY 1) s ON t.i = s.i", "trade"))
+@query(w("SELECT t.i, t.j, t.v / s.total AS share FROM dag t JOIN (SELECT i, sum(v) AS total FROM dag GROUP BY 1) s ON t.i = s.i", "dag"))
 def broadcast_var(spark, d):
-    m = views.nation_trade(spark, d)
-    return joins.with_all(m, stats.row_sums(m)).select("i", "j", (F.col("v") / F.element_at("all_values", F.col("i"))).alias("share"))
+    m = views.part_dag(spark, d)
+    return joins.with_value(m, stats.row_sums(m), "i").select("i", "j", (F.col("v") / F.col("total")).alias("share"))
 
 
 # Aggregations
@@ -524,14 +524,16 @@ def block_build(spark, d):
     return packed.select("block_row", "block_col", F.size("data").cast("bigint").alias("cells"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(w("SELECT i, j, v FROM trade", "trade"))
+@query(w("SELECT i, j, v FROM dag", "dag"))
 def csr_from_sorted(spark, d):
-    return blocks.unpack(blocks.build(views.nation_trade(spark, d), blocks.Grid(25, 25, 1)))
+    n = views.n_parts(spark, d)
+    return blocks.unpack(blocks.build(views.part_dag(spark, d), blocks.Grid(n, n, 8)))
 
 
-@query(w("SELECT i, j, v FROM trade", "trade"))
+@query(w("SELECT i, j, v FROM dag", "dag"))
 def csc_from_sorted(spark, d):
-    return blocks.unpack(blocks.build(views.nation_trade(spark, d), blocks.Grid(25, 25, 3), orientation="csc"), "csc")
+    n = views.n_parts(spark, d)
+    return blocks.unpack(blocks.build(views.part_dag(spark, d), blocks.Grid(n, n, 8), orientation="csc"), "csc")
 
 
 @query(w("SELECT CAST(least(i // (n // 7), 6) * 7 + least(j // (n // 7), 6) AS BIGINT) AS block, count(*) AS nnz FROM dag, nn GROUP BY 1", "dag", "nn"))
@@ -584,9 +586,9 @@ def spmv_broadcast_kernel(spark, d):
     return linalg.spmv_broadcast(views.order_part(spark, d), views.part_sizes(spark, d), 0.5)
 
 
-@query(w("SELECT t.i, sum(t.v * (t.j + 1)) AS x FROM trade t GROUP BY t.i", "trade"))
+@query(w(_SPMV, "op", "sizes"))
 def spmv_cross_kernel(spark, d):
-    return linalg.spmv_cross(views.nation_trade(spark, d), spark.range(25).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("x")), 25)
+    return linalg.spmv_cross(views.order_part(spark, d), views.part_sizes(spark, d), views.n_parts(spark, d))
 
 
 @query(w(_SPMV, "op", "sizes"))
@@ -648,10 +650,10 @@ def compressed_mult(spark, d):
     return linalg.spmv(spark.read.schema("i bigint, j bigint, v double").parquet(path), views.part_sizes(spark, d))
 
 
-@query(w("SELECT t.i, sum(t.v * (t.j + 1)) AS x FROM trade t GROUP BY t.i", "trade"))
+@query(w("SELECT dag.i, sum(dag.v * sizes.x) AS x FROM dag JOIN sizes ON dag.j = sizes.i GROUP BY dag.i", "dag", "sizes"))
 def block_mult_realigned(spark, d):
-    packed = blocks.build(views.nation_trade(spark, d), blocks.Grid(25, 25, 4))
-    return linalg.block_mult_realigned(packed, spark.range(25).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("x")))
+    n = views.n_parts(spark, d)
+    return linalg.block_mult_realigned(blocks.build(views.part_dag(spark, d), blocks.Grid(n, n, 8)), views.part_sizes(spark, d))
 
 
 @query(w("SELECT coalesce(sum(v), 0) AS v FROM trade WHERE i = 3 AND j = 5", "trade"))
