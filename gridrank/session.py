@@ -44,12 +44,26 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Kept:
-    """A table written to the shared folder, so that lineage ends there; drop() deletes it."""
+    """A table written to the shared folder, so that lineage ends there; drop() deletes it.
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+    With `by`, it is kept in as many buckets as shuffles have partitions, so that joins on that column needn't move it.
+    """
+
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+        self.spark, self.path, self.table = df.sparkSession, new_path(df.sparkSession, name), None
+        if by:
+            self.table = self.path.rsplit("/", 1)[1].replace("-", "_")
+            df.write.bucketBy(buckets(self.spark), by).option("path", self.path).saveAsTable(self.table)
+            self.df = self.spark.table(self.table)
+        else:
+            df.write.parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self.table:
+            self.spark.sql(f"DROP TABLE {self.table}")
         delete(self.spark, self.path)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from gridrank import session
 from gridrank.functions import vector
 from gridrank.operators import blocks, coo, cost, joins, linalg, reorder, stats
+from gridrank.plans import pagerank as ranking
 from gridrank.plans.pagerank import pagerank, rank_mass
 from gridrank.sources import catalog, edge_list, matrix_market, vectors
 from gridrank.streaming import iteration_log
@@ -251,3 +253,24 @@ def test_packed_triangles(spark, tmp_path, kind):
     path.write_text(f"%%MatrixMarket matrix array real {kind}\n{n} {n}\n" + "\n".join(str(k + 1) for k in range(len(cells))) + "\n")
     found = {(r.i, r.j): r.v for r in matrix_market.read(spark, f"file://{path}", expand=False).collect()}
     assert found == {c: k + 1 for k, c in enumerate(cells)}
+
+
+def test_links_in_buckets_rank_alike_and_do_not_move(spark, monkeypatch):
+    rows = [(0, k, 1.0) for k in range(1, 400)] + [(k, (k * 7 + 1) % 400, 1.0 + k % 3) for k in range(400)] + [(k, (k * 11 + 5) % 400, 2.0) for k in range(300)]
+    graph = matrix(spark, rows)
+    want = {r.k: r.r for r in pagerank(graph, 400, tolerance=None, most_rounds=5).ranks.collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hubs in (1000, 4):
+            monkeypatch.setattr(ranking, "HUBS", hubs)
+            found = {r.k: r.r for r in pagerank(graph, 400, tolerance=None, most_rounds=5, most_broadcast=0).ranks.collect()}
+            assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+        links = session.Kept(graph.repartition(session.buckets(spark), "i"), "links", "i")
+        ranks = session.Kept(spark.range(400).selectExpr("id as k", "0.5D as r").repartition(session.buckets(spark), "k"), "ranks", "k")
+        products = joins.rank_products(ranks.df, links.df.selectExpr("j as i", "i as j", "v"))
+        assert "Exchange" not in products._jdf.queryExecution().executedPlan().toString()
+        links.drop()
+        ranks.drop()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
