@@ -31,33 +31,44 @@ def spmv_cross(matrix: DataFrame, vector: DataFrame, n: int) -> DataFrame:
     return attached.select("i", (F.col("v") * F.get("all_x", F.col("j").cast("int"))).alias("product")).groupBy("i").agg(F.sum("product").alias("x"))
 
 
-def _multiply(table: pa.Table) -> pa.Table:
-    starts, parts = [], []
-    for k in range(len(table)):
-        pointers, indices, data, x = (table[c][k].values.to_numpy() for c in ("indptr", "indices", "data", "x_data"))
-        products = data * x[indices]
-        rows = np.diff(pointers) > 0
-        out = np.zeros(len(pointers) - 1)
-        if rows.any():
-            out[rows] = np.add.reduceat(products, pointers[:-1][rows])
-        starts.append(table["start_row"][k].as_py())
-        parts.append(out)
-    return pa.table({"start_row": pa.array(starts, pa.int64()), "data": pa.array(parts, pa.list_(pa.float64()))})
-
-
-def _multiply_batches(batches):
+def _multiply(batch: pa.RecordBatch):
+    """Of each packed block: its first row, its height, the rows that have cells and their sums."""
+    column = {name: batch.column(name) for name in ("start_row", "indptr", "indices", "data", "x_data")}
+    for k in range(len(batch)):
+        pointers, indices, data, x = (column[c][k].values.to_numpy() for c in ("indptr", "indices", "data", "x_data"))
+        rows = np.flatnonzero(np.diff(pointers))
+        sums = np.add.reduceat(data * x[indices], pointers[rows]) if len(rows) else np.zeros(0)
+        yield column["start_row"][k].as_py(), len(pointers) - 1, rows, sums
+
+
+def _block_parts(batches):
     for batch in batches:
-        yield from _multiply(pa.Table.from_batches([batch])).to_batches()
+        for start, height, rows, sums in _multiply(batch):
+            out = np.zeros(height)
+            out[rows] = sums
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([out], pa.list_(pa.float64()))], ["start_row", "data"])
 
 
-def spmv_blocks(packed: DataFrame, x_blocks: DataFrame) -> DataFrame:
-    """(start_row, data): packed blocks joined with vector blocks on the start column, multiplied where they are, added by start row.
+def _element_parts(batches):
+    for batch in batches:
+        for start, _, rows, sums in _multiply(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(rows + start, pa.int64()), pa.array(sums)], ["i", "x"])
+
 
-    The vector blocks are as wide as the grid's columns, the result's as high as its rows.
-    """
+def _beside(packed: DataFrame, x_blocks: DataFrame) -> DataFrame:
+    """Packed blocks joined with vector blocks on the start column; the vector blocks are as wide as the grid's columns."""
     vector = x_blocks.select(F.col("start_row").alias("at"), F.col("data").alias("x_data"))
-    both = packed.join(joins.sized(vector, 10_000), F.col("start_col") == F.col("at")).select("start_row", "indptr", "indices", "data", "x_data")
-    return add_blocks(both.mapInArrow(_multiply_batches, VECTOR_BLOCK))
+    return packed.join(vector, F.col("start_col") == F.col("at")).select("start_row", "indptr", "indices", "data", "x_data")
+
+
+def spmv_blocks(packed: DataFrame, x_blocks: DataFrame) -> DataFrame:
+    """(start_row, data): blocks multiplied where they are, added by start row; the result's blocks are as high as the grid's rows."""
+    return add_blocks(_beside(packed, x_blocks).mapInArrow(_block_parts, VECTOR_BLOCK))
+
+
+def spmv_block_elements(packed: DataFrame, x_blocks: DataFrame) -> DataFrame:
+    """(i, x): the same product as elements, of rows that have cells only; a block sends no more than it has of these."""
+    return _beside(packed, x_blocks).mapInArrow(_element_parts, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
 
 
 def add_blocks(parts: DataFrame) -> DataFrame:

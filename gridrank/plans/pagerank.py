@@ -74,7 +74,7 @@ def pagerank(matrix: DataFrame, n: int, *, alpha: float = 0.85, tolerance: float
         base = (1 - alpha) / n + alpha * mass / n
         if grid:
             x = blocks.vector_blocks(now.df.select(F.col("k").alias("i"), F.col("r").alias("x")), grid.width, n)
-            sums = linalg.from_blocks(linalg.spmv_blocks(links.df, x)).select(F.col("i").alias("to"), F.col("x").alias("s"))
+            sums = linalg.spmv_block_elements(links.df, x).select(F.col("i").alias("to"), F.col("x").alias("s"))
         else:
             ranks = now.df.select("k", "r")
             products = joins.rank_products(ranks if by else F.broadcast(ranks), links.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))

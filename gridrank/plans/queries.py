@@ -569,11 +569,9 @@ def _grid(spark, d, b: int = 8) -> blocks.Grid:
 
 @query(w(f"SELECT i, x FROM ({_SPMV})", "op", "sizes"))
 def spmv_block_join(spark, d):
-    """Every order has lines, so that no row of the result is absent; rows that blocks add beyond are 0."""
     grid = _grid(spark, d)
     x = blocks.vector_blocks(views.part_sizes(spark, d), grid.width, grid.cols)
-    y = linalg.from_blocks(linalg.spmv_blocks(blocks.build(views.order_part(spark, d), grid), x))
-    return y.join(views.order_part(spark, d).select("i").distinct(), "i", "left_semi")
+    return linalg.spmv_block_elements(blocks.build(views.order_part(spark, d), grid), x)
 
 
 @query(w(_SPMV, "op", "sizes"))
