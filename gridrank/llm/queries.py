@@ -84,7 +84,9 @@ parts AS (SELECT said.*, speaker, role IS NOT DISTINCT FROM speaker AS own,
   CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' END AS head FROM said JOIN who ON conv_id IS NOT DISTINCT FROM of),
 placed AS (SELECT *, row_number() OVER o AS k, CAST(sum(length(head) + length(body)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM parts
   WINDOW o AS (PARTITION BY conv_id, "window", speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, body))
-SELECT conv_id, "window", speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+SELECT conv_id, "window", speaker, count(*) AS n_turns,
+  CAST(coalesce(sum(max(stop)) OVER (PARTITION BY conv_id, speaker ORDER BY "window" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  string_agg(head || body, '' ORDER BY k) AS text,
   coalesce(string_agg(CASE WHEN own THEN (stop - length(body)) || ':' || stop END, ',' ORDER BY k), '') AS mask
 FROM placed GROUP BY conv_id, "window", speaker
 """
